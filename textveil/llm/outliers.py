@@ -88,18 +88,18 @@ def with_statistics(df: DataFrame, keep: list[str], text: str = "text") -> DataF
 
 
 #: Least standard deviation of each transformed statistic: steadier data does not make the rule stricter.
-FLOOR = {"f0": 0.08, "f1": 0.35, "f2": 0.35, "f3": 0.30}
+FLOOR = {"f0": 0.08, "f1": 0.35, "f2": 0.35, "f3": 0.35}
 FEATURES = list(FLOOR)
 
 
 def transformed() -> dict[str, F.Column]:
-    """The vector: log mean word length, and log ratios of symbols, repeated lines and repeated words."""
+    """The vector: log mean word length, log counts of symbols, repeated lines and repeated words, each on its own scale."""
     n = F.col("n_words").cast("double")
     return {
         "f0": F.log((F.col("word_chars") + 1.0) / (n + 1.0)),
         "f1": F.log1p(100.0 * F.col("n_symbols") / (F.col("word_chars") + 1.0)),
-        "f2": F.log1p(1000.0 * F.col("n_dup_lines") / (n + 1.0)),
-        "f3": F.log1p(20.0 * F.col("n_repeat_words") / (n + 1.0)),
+        "f2": F.log1p(F.col("n_dup_lines").cast("double")),
+        "f3": F.log1p(10.0 * F.col("n_repeat_words") / (n + 1.0)),
     }
 
 
@@ -190,7 +190,7 @@ def mcd(rows: DataFrame, group: str, h_share: float = 0.75, steps: int = 6) -> D
 
 
 def quality_rules(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", min_group: int = 40, h_share: float = 0.75, steps: int = 6, cutoff: float = 30.0
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", min_group: int = 40, h_share: float = 0.75, steps: int = 6, cutoff: float = 26.0
 ) -> DataFrame:
     """One row per document: doc_id, the five statistics, base_failed, distance, kept.
 
