@@ -23,6 +23,8 @@ _powers: dict[str, np.ndarray] = {}
 ALNUM = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 #: Bytes that are part of a word between blanks: all but space and 0x09 to 0x0D.
 NONBLANK = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
+#: 1 for bytes of words of letters and digits, 2 for punctuation, 0 for blanks.
+WORD_PUNCT = np.where(ALNUM, 1, np.where(NONBLANK, 2, 0))
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -97,17 +99,29 @@ class Buffer:
         step = np.diff(inside)
         return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
+    def pieces(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of the runs of bytes of one kind, but for kind 0, which line feeds have."""
+        kind = np.zeros(len(self.bytes) + 2, dtype=np.int8)
+        kind[1:-1] = kinds[self.bytes]
+        turn = np.flatnonzero(kind[1:] != kind[:-1])
+        start, end = turn[:-1], turn[1:]
+        real = kind[start + 1] != 0
+        return start[real], end[real]
+
     def owner(self, start: np.ndarray) -> np.ndarray:
         """Number of words before each text: words of text i are [out[i], out[i + 1])."""
         return np.searchsorted(start, self.offsets)
 
 
 class Words:
-    """Hashes of the words of some texts; ``first[i]:first[i + 1]`` are those of text i."""
+    """Hashes of the words of some texts; ``first[i]:first[i + 1]`` are those of text i.
+
+    ``table`` marks the bytes of words, or numbers their kinds (runs of one kind are words then).
+    """
 
     def __init__(self, texts: pa.Array, table: np.ndarray = ALNUM, lower: bool = True):
         self.buffer = Buffer(texts, lower)
-        self.start, self.end = self.buffer.runs(table)
+        self.start, self.end = self.buffer.runs(table) if table.dtype == bool else self.buffer.pieces(table)
         self.first = self.buffer.owner(self.start)
         self.hash = self.buffer.hash(self.start, self.end)
 

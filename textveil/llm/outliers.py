@@ -138,10 +138,10 @@ def mcd(rows: DataFrame, group: str, h_share: float = 0.75, steps: int = 6) -> D
     """Centre and precision of each group of ``rows`` by C-steps, one aggregation for each step.
 
     The start is the box of medians and median absolute deviations.  Distances are binned on a
-    log grid; a group's bins (2048 at most) are summed from the nearest on until they hold
+    log grid; a group's bins (320 at most) are summed from the nearest on until they hold
     ``h_share`` of its rows, so no step sorts or gathers a group.
     """
-    bins = F.greatest(F.lit(-1024), F.least(F.lit(1023), F.floor(F.log2(F.col("d2") + 1e-12) * 32))).cast("int")
+    bins = F.greatest(F.lit(-96), F.least(F.lit(223), F.floor(F.log2(F.col("d2") + 1e-12) * 16))).cast("int")
     # Medians and deviations from counts on a fine grid; a few thousand cells a group and statistic.
     grid = 64.0
     cells = (

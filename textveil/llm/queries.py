@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .importance import importance_resample
+from .mixing import mix_sources
 from .outliers import quality_rules
+from .packing import pack
+from .toxicity import toxicity
 from .urlrules import url_filter
 from .warc import archive_round_trip
 
@@ -21,25 +25,64 @@ URL_RULES = [
 ]
 
 
+#: Domains of the sources by their number modulo 4, and target weights by level; what is not named weighs 1.
+DOMAINS = ["web", "books", "news", "code"]
+MIX_WEIGHTS = [{"web": 0.4, "books": 0.25, "news": 0.2, "code": 0.15}, {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, {}]
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 2, 17
+
+
+def mix_levels() -> list[tuple[str, Column]]:
+    number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    domain = F.element_at(F.array(*[F.lit(d) for d in DOMAINS]), F.pmod(number, F.lit(4)) + 1)
+    return [("domain", domain), ("lang", F.col("lang")), ("source", F.col("source"))]
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+    return mixed.select("doc_id", F.col("__mix_domain").alias("domain"), "lang", "source", F.col("__mix_tokens").alias("tokens"), F.col("__mix_epoch").alias("epoch"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_importance_resampling": op1_importance_resampling,
+    "op2_toxicity": op2_toxicity,
     "op4_warc": op4_warc,
+    "op5_mix_sources": op5_mix_sources,
     "op6_quality_rules": op6_quality_rules,
+    "op9_packing": op9_packing,
     "op10_url_filters": op10_url_filters,
 }
 
@@ -53,6 +96,27 @@ ORACLE_SQL: dict[str, str] = {
           CASE WHEN f.first_id <> p.page_id THEN f.first_id END AS refers_to
         FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
     """,
+    "op5_mix_sources": r"""
+        WITH d AS (
+          SELECT doc_id, lang, source, ['web', 'books', 'news', 'code'][coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS INT), 0) % 4 + 1] AS domain,
+            len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+'))::BIGINT AS tokens, sha256(coalesce(text, '')) AS digest FROM documents
+        ), s AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, 2.0::DOUBLE * sum(tokens) AS cap FROM d GROUP BY ALL HAVING sum(tokens) > 0),
+        g0 AS (SELECT least(sum(cap), floor(sum(tokens) * 0.6::DOUBLE)) AS given FROM s),
+        k1 AS (SELECT domain, sum(cap) AS cap, CASE domain WHEN 'web' THEN 0.4 WHEN 'books' THEN 0.25 WHEN 'news' THEN 0.2 WHEN 'code' THEN 0.15 END::DOUBLE AS w FROM s GROUP BY 1),
+        u1 AS (SELECT k1.*, given, (given - coalesce(sum(cap) OVER (ORDER BY cap / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(w) OVER (ORDER BY cap / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM k1, g0),
+        g1 AS (SELECT domain, CASE WHEN cap <= w * unit THEN cap ELSE w * arg_min(unit, cap / w) FILTER (cap > w * unit) OVER () END AS given FROM u1),
+        k2 AS (SELECT domain, lang, sum(cap) AS cap, CASE lang WHEN 'en' THEN 0.5 WHEN 'de' THEN 0.2 WHEN 'fr' THEN 0.2 WHEN 'es' THEN 0.1 ELSE 1 END::DOUBLE AS w FROM s GROUP BY 1, 2),
+        u2 AS (SELECT k2.*, given, (given - coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(w) OVER (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM k2 JOIN g1 USING (domain)),
+        g2 AS (SELECT domain, lang, CASE WHEN cap <= w * unit THEN cap ELSE w * arg_min(unit, cap / w) FILTER (cap > w * unit) OVER (PARTITION BY domain) END AS given FROM u2),
+        u3 AS (SELECT s.*, given, (given - coalesce(sum(cap) OVER (PARTITION BY domain, lang ORDER BY cap, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / count(*) OVER (PARTITION BY domain, lang ORDER BY cap, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM s JOIN g2 USING (domain, lang)),
+        g3 AS (SELECT domain, lang, source, tokens AS t, floor(CASE WHEN cap <= unit THEN cap ELSE arg_min(unit, cap) FILTER (cap > unit) OVER (PARTITION BY domain, lang) END + 1e-6)::BIGINT AS budget FROM u3),
+        o AS (SELECT d.*, budget // t AS whole, budget % t AS rest, sum(tokens) OVER (PARTITION BY domain, lang, source
+            ORDER BY md5('17:' || (budget // t) || ':' || doc_id), digest) AS upto FROM d JOIN g3 USING (domain, lang, source) WHERE tokens > 0)
+        SELECT doc_id, domain, lang, source, tokens, unnest(range(whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END))::INT AS epoch FROM o
+    """,
     "op10_url_filters": r"""
         WITH u AS (
           SELECT page_id, coalesce(url, '') AS url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
