@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,3 +50,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; others, whatever they are called, play no part."""
     return df.select(*[df[f"`{n}`"].alias(n) for n in names])
+
+
+#: Rows of a slim table (ids and a few numbers, some 50 bytes a row) up to which it is broadcast.
+SLIM_ROWS = 200_000
+
+
+def slim_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join to a table of ids that is counted first: broadcast up to ``SLIM_ROWS``, else by shuffle."""
+    return left.join(F.broadcast(right) if right.count() <= SLIM_ROWS else right, on, how)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .importance import importance_resample
+from .lshforest import jaccard_join
 from .mixing import mix_sources
 from .outliers import quality_rules
 from .packing import pack
@@ -68,6 +69,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality_rules": op6_quality_rules,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_url_filters": op10_url_filters,
 }
@@ -117,6 +123,21 @@ ORACLE_SQL: dict[str, str] = {
             ORDER BY md5('17:' || (budget // t) || ':' || doc_id), digest) AS upto FROM d JOIN g3 USING (domain, lang, source) WHERE tokens > 0)
         SELECT doc_id, domain, lang, source, tokens, unnest(range(whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END))::INT AS epoch FROM o
     """,
+    "op8_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+'), lambda x: x <> '') AS w FROM documents
+        ), s AS (
+          SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w
+        ), z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b, i = x.n AND i = y.n AS same FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 5 * i >= 4 * (x.n + y.n - i)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1),
+        k AS (SELECT a AS doc_id, count(*) AS n_links, min(b) FILTER (same) AS twin FROM l GROUP BY 1)
+        SELECT c.doc_id, least(c.doc_id, coalesce(twin, c.doc_id)) AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, c.doc_id = component_id AS kept
+        FROM c LEFT JOIN k ON c.doc_id = k.doc_id
+    """,
     "op10_url_filters": r"""
         WITH u AS (
           SELECT page_id, coalesce(url, '') AS url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
