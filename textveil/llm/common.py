@@ -56,6 +56,10 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 SLIM_ROWS = 200_000
 
 
+def sized(right: DataFrame) -> DataFrame:
+    """A table of ids, counted first: marked for broadcast up to ``SLIM_ROWS``, else left to a shuffle."""
+    return F.broadcast(right) if right.count() <= SLIM_ROWS else right
+
+
 def slim_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-    """Join to a table of ids that is counted first: broadcast up to ``SLIM_ROWS``, else by shuffle."""
-    return left.join(F.broadcast(right) if right.count() <= SLIM_ROWS else right, on, how)
+    return left.join(sized(right), on, how)

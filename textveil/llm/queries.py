@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .compactwindows import repeated_passages
+from .covertree import embedding_near_duplicates
 from .importance import importance_resample
 from .lshforest import jaccard_join
 from .mixing import mix_sources
@@ -56,6 +58,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("digest")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -69,6 +75,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -84,9 +94,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_toxicity": op2_toxicity,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_warc": op4_warc,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality_rules": op6_quality_rules,
+    "op7_embedding_near_dup": op7_embedding_near_dup,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_url_filters": op10_url_filters,
@@ -123,6 +135,14 @@ ORACLE_SQL: dict[str, str] = {
             ORDER BY md5('17:' || (budget // t) || ':' || doc_id), digest) AS upto FROM d JOIN g3 USING (domain, lang, source) WHERE tokens > 0)
         SELECT doc_id, domain, lang, source, tokens, unnest(range(whole + CASE WHEN upto <= rest THEN 1 ELSE 0 END))::INT AS epoch FROM o
     """,
+    "op7_embedding_near_dup": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1), k AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1)
+        SELECT c.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN k ON c.vec_id = k.vec_id
+    """,
     "op8_jaccard_join": r"""
         WITH RECURSIVE w AS (
           SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+'), lambda x: x <> '') AS w FROM documents
