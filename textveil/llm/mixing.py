@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sized
 
 #: Rows of a leaf for each bin of its seeded order; only the bin in which the budget ends is sorted.
 BIN_ROWS = 4000
@@ -77,14 +77,14 @@ def mix_sources(
     match = [F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names]
     rank = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("__mix_key")))
     bin_ = F.floor(F.conv(F.substring(rank, 1, 8), 16, 10).cast("bigint") * F.col("bins") / F.lit(float(1 << 32))).cast("bigint")
-    placed = rows.where(F.col("__mix_tokens") > 0).join(leaves, match).withColumn("__mix_rank", rank).withColumn("__mix_bin", bin_)
+    placed = rows.where(F.col("__mix_tokens") > 0).join(sized(leaves), match).withColumn("__mix_rank", rank).withColumn("__mix_bin", bin_)
     # The bin in which each leaf's budget ends, from the sums of the bins.
     sums = placed.groupBy(*[f"{n}_" for n in names], "rest", "__mix_bin").agg(F.sum("__mix_tokens").alias("t"))
     run = Window.partitionBy(*[f"{n}_" for n in names]).orderBy("__mix_bin").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("end", F.sum("t").over(run)).where(F.col("end") > F.col("rest"))
     last = sums.groupBy(*[F.col(f"{n}_").alias(f"{n}__") for n in names]).agg(F.min("__mix_bin").alias("last"), F.min(F.col("end") - F.col("t")).alias("before"))
     last = cut(last)
-    placed = placed.join(last, [F.col(f"{n}_").eqNullSafe(F.col(f"{n}__")) for n in names], "left")
+    placed = placed.join(sized(last), [F.col(f"{n}_").eqNullSafe(F.col(f"{n}__")) for n in names], "left")
     # Of the last bin, the rows whose running sum the budget covers; keys and counts only are sorted.
     ends = placed.where(F.col("__mix_bin") == F.col("last"))
     digest = F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"), 256)
@@ -94,7 +94,7 @@ def mix_sources(
     edge = edge.withColumn("end", F.col("before") + F.sum("__mix_tokens").over(order)).where(F.col("end") <= F.col("rest"))
     edge = edge.groupBy(*[f"{n}__" for n in names]).agg(F.max(F.struct("__mix_rank", "tie")).alias("cut"))
     edge = cut(edge.select(*[F.col(f"{n}__").alias(f"{n}___") for n in names], "cut"))
-    placed = placed.join(edge, [F.col(f"{n}_").eqNullSafe(F.col(f"{n}___")) for n in names], "left")
+    placed = placed.join(sized(edge), [F.col(f"{n}_").eqNullSafe(F.col(f"{n}___")) for n in names], "left")
     within = F.col("last").isNull() | (F.col("__mix_bin") < F.col("last")) | (
         (F.col("__mix_bin") == F.col("last")) & F.coalesce(F.struct(F.col("__mix_rank"), digest.alias("tie")) <= F.col("cut"), F.lit(False))
     )
