@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textveil.llm import covertree, importance, lshforest, outliers, packing, queries, toxicity, warc
+from textveil.llm import compactwindows, covertree, importance, lshforest, outliers, packing, queries, toxicity, warc
 from textveil.llm.compactwindows import compact_windows, repeated_passages, without_passages
 from textveil.llm.components import connected_components
 
@@ -83,6 +83,22 @@ def test_repeated_passages(spark):
     assert left == sum(len(words(t)) for t in texts.values()) - sum(map(len, got.values()))
 
 
+def test_passages_in_very_many_documents(spark, monkeypatch):
+    """Keys dealt over several tasks give the rows that whole keys give."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage = " ".join(word() for _ in range(70))
+    rows = [(i, " ".join([*(word() for _ in range(rng.randint(1, 60))), passage, *(word() for _ in range(rng.randint(1, 60)))])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(compactwindows._frequent_keys(docs, 150, 46, "bigint"))
+    spread = {tuple(r) for r in repeated_passages(docs).collect()}
+    monkeypatch.setattr(compactwindows, "_frequent_keys", lambda *a: np.zeros(0, np.int64))
+    assert spread == {tuple(r) for r in repeated_passages(docs).collect()}
+    for i, text in rows[1:]:
+        at = text.index(passage)
+        assert any(r[0] == i and r[4] <= at and r[5] >= at + len(passage) and r[6] == 0 for r in spread)
+
+
 def test_cover_tree_pairs():
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 16))
