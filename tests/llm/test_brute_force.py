@@ -137,6 +137,17 @@ def test_forest_depth_meets_recall():
     assert 1 - (1 - 0.8**d) ** lshforest.TREES >= 0.9995 > 1 - (1 - 0.8 ** (d + 1)) ** lshforest.TREES
 
 
+def test_forest_recall_of_its_own_labels():
+    """Pairs of sets whose similarity is just 0.8, by the labels that the join draws."""
+    rng, pairs, missed = np.random.default_rng(9), 40_000, 0
+    for _ in range(4):
+        codes = rng.integers(0, 1 << 63, (pairs // 4, 50), dtype=np.uint64)
+        both = np.stack([codes[:, :45], np.concatenate([codes[:, :40], codes[:, 45:]], axis=1)], axis=1)
+        found = lshforest.labels(both.ravel(), np.arange(pairs // 2 + 1) * 45, lshforest.depth_for(0.8, 0.9995)).reshape(-1, 2, lshforest.TREES)
+        missed += int((~(found[:, 0] == found[:, 1]).any(axis=1)).sum())
+    assert missed <= 0.0005 * pairs
+
+
 def test_warc_with_version_lines_in_payloads(spark):
     rng = random.Random(1)
     bits = ["abc ", "WARC/1.1\r\n", "\r\n\r\n", "WARC/1.1\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n", "é😀", "\n"]
