@@ -99,6 +99,23 @@ def test_passages_in_very_many_documents(spark, monkeypatch):
         assert any(r[0] == i and r[4] <= at and r[5] >= at + len(passage) and r[6] == 0 for r in spread)
 
 
+def test_passages_whose_earliest_meeting_fails(spark):
+    """Ten earlier variants below the threshold come between two texts that share a passage word by word."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, want = [], {}
+    for k in range(40):
+        passage = [word() for _ in range(60)]
+        for v in range(12):
+            own = passage if v > 9 else [word() if j % 14 == v % 14 else w for j, w in enumerate(passage)]
+            rows.append((100 * k + v, " ".join([*(word() for _ in range(20)), *own, *(word() for _ in range(20))])))
+        want[100 * k + 11] = " ".join(passage)
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    got = {r.doc_id for r in found if r.doc_id in want and want[r.doc_id] in texts[r.doc_id][r.start_char : r.end_char]}
+    assert len(got) >= 39
+
+
 def test_cover_tree_pairs():
     rng = np.random.default_rng(3)
     base = rng.normal(size=(40, 16))
