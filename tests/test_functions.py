@@ -1,9 +1,11 @@
 """Fixed vectors of the scalar functions; each function runs once over all of its vectors."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from textveil.functions import finders, normalize, placeholder, validate
+from textveil.functions import finders, normalize, placeholder, requests, validate
 
 VALID = {
     "iban_mod97": (["DE89 3704 0044 0532 0130 00"], ["DE90370400440532013000", "DE8937040044053201300", "DE8937040044053201300²", "DE893Ä0400440532013000"]),
@@ -59,6 +61,24 @@ def test_finder(spark, name):
     assert all(text[s.start : s.end] == s.text for s in got)
 
 
+def test_request_texts_and_refusals(spark):
+    call = {"id": "c", "type": "function", "function": {"name": "send", "arguments": json.dumps({"to/x": "Max", "n": 5})}}
+    cases = [
+        ([{"role": "user", "content": "[[PERSON_A1]] wrote"}], {"messages/0/content": "[[PERSON_A1]] wrote"}),
+        ([{"role": "user", "content": [{"type": "text", "text": "a"}]}], {"messages/0/content/0/text": "a"}),
+        ([{"role": "assistant", "content": None, "tool_calls": [call]}], {"messages/0/tool_calls/0/function/arguments/to~1x": "Max", "messages/0/tool_calls/0/function/arguments/n": "5"}),
+        ([{"role": "user", "content": [{"type": "image_url", "image_url": {"url": "u"}}]}], None),
+        ([{"role": "user", "content": "a", "tool_calls": [{"function": {"arguments": "{"}}]}], None),
+    ]
+    bodies = [(i, json.dumps({"model": "m", "messages": m}), w) for i, (m, w) in enumerate(cases)] + [(8, '{"input": "Max"}', None), (9, '{"instructions": "Max", "messages": []}', None)]
+    df = spark.createDataFrame([b[:2] for b in bodies], "id int, body string")
+    rows, refused = requests.message_texts(df).collect(), {r.id: r.r for r in df.select("id", requests.unscannable(F.col("body")).alias("r")).collect()}
+    for i, _, want in bodies:
+        assert refused[i] == (want is None) and {r.pointer: r.text for r in rows if r.id == i} == (want or {})
+    back = df.where("id = 2").select(requests.written_back(F.col("body"), F.array(F.lit("messages/0/tool_calls/0/function/arguments/to~1x")), F.array(F.lit("X"))).alias("b")).first().b
+    assert json.loads(json.loads(back)["messages"][0]["tool_calls"][0]["function"]["arguments"]) == {"to/x": "X", "n": 5}
+
+
 def test_suffixes(spark):
     want = {0: "A1", 1: "A2", 8: "A9", 9: "B1", 17: "B9", 18: "C1", 225: "Z1", 233: "Z9", 234: "AA1", 243: "AB1"}
     rows = spark.range(1000).select("id", placeholder.suffix(F.col("id")).alias("s")).collect()

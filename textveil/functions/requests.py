@@ -12,33 +12,120 @@ from pyspark.sql import functions as F
 TEXT_FIELDS, MESSAGE_FIELDS = ("content", "name", "refusal"), ("role", "content", "name", "refusal", "tool_calls", "tool_call_id")
 
 
+#: Top-level fields, and those of a tool call and its function, that are passed on unread.
+PASSED_FIELDS = frozenset(
+    "model tools temperature stream max_tokens max_completion_tokens top_p n stop presence_penalty frequency_penalty logit_bias seed user logprobs top_logprobs "
+    "response_format tool_choice parallel_tool_calls stream_options".split()
+)
+PASSED_CALL_FIELDS, PASSED_FUNCTION_FIELDS = ("id", "type", "index"), ("name",)
+
+
+class Unscannable(ValueError):
+    """A part of a body that nothing scans."""
+
+
+def _refuse_text(value) -> None:
+    if isinstance(value, str) or any(not n for _, _, n in leaves(value)):
+        raise Unscannable
+
+
+def _typed(value, kind: type):
+    if not isinstance(value, kind):
+        raise Unscannable
+    return value
+
+
+def _text_nodes(value, pointer: tuple):
+    """A string, or a list of parts of which each is a text."""
+    if isinstance(value, str):
+        yield pointer, value
+    elif value is not None:
+        for i, part in enumerate(_typed(value, list)):
+            if _typed(part, dict).get("type") != "text":
+                raise Unscannable
+            for k, v in part.items():
+                if k == "text":
+                    yield from _text_nodes(v, (*pointer, str(i), k))
+                elif k != "type":
+                    _refuse_text(v)
+
+
+def _call_nodes(calls, pointer: tuple):
+    for i, call in enumerate(_typed(calls, list)):
+        for k, v in _typed(call, dict).items():
+            if k == "function":
+                for name, x in _typed(v, dict).items():
+                    if name == "arguments":
+                        for p, text, _ in leaves(json.loads(_typed(x, str)), (*pointer, str(i), k, name), escape=True):
+                            yield tuple(p.split("/")), text
+                    elif name not in PASSED_FUNCTION_FIELDS:
+                        _refuse_text(x)
+            elif k not in PASSED_CALL_FIELDS:
+                _refuse_text(v)
+
+
+def request_nodes(body: str):
+    """(pointer, text) of each scanned text of a chat request; ``Unscannable`` or another ValueError at what nothing scans."""
+    for key, value in _typed(json.loads(body), dict).items():
+        if key == "messages":
+            for i, message in enumerate(_typed(value, list)):
+                for k, v in _typed(message, dict).items():
+                    at = (key, str(i), k)
+                    if k in TEXT_FIELDS:
+                        yield from _text_nodes(v, at)
+                    elif k == "tool_calls":
+                        yield from _call_nodes(v, at)
+                    elif k not in MESSAGE_FIELDS:
+                        _refuse_text(v)
+        elif key not in PASSED_FIELDS:
+            _refuse_text(value)
+
+
 def message_texts(requests: DataFrame, body: str = "body") -> DataFrame:
-    """pointer and text of each scanned text of ``body``'s messages, with the other columns of ``requests``."""
+    """pointer and text of each scanned text of ``body``'s messages, with the other columns of ``requests``.
+
+    Requests that ``unscannable`` refuses have no rows.  Below ``arguments`` a pointer leads into the
+    serialised JSON; "~" and "/" in its keys are written "~0" and "~1".
+    """
     keep = [c for c in requests.columns if c != body]
-    messages = requests.select(*keep, F.posexplode(F.from_json(F.get_json_object(body, "$.messages"), "array<string>")).alias("i", "m"))
-    plain = F.array(*[F.struct(F.lit(f).alias("field"), F.get_json_object("m", f"$.{f}").alias("text")) for f in TEXT_FIELDS])
-    parts = F.coalesce(F.from_json(F.get_json_object("m", "$.content"), "array<struct<type:string,text:string>>"), F.array())
-    listed = F.get_json_object("m", "$.content").startswith("[")
-    simple = F.filter(plain, lambda x: x["text"].isNotNull() & (x["text"] != "") & ~((x["field"] == "content") & listed))
-    inner = F.filter(F.transform(parts, lambda p, k: F.struct(F.concat(F.lit("content/"), k.cast("string"), F.lit("/text")).alias("field"), p["text"].alias("text"))), lambda x: x["text"].isNotNull())
-    found = messages.select(*keep, "i", F.inline(F.concat(simple, F.when(listed, inner).otherwise(F.array().cast("array<struct<field:string,text:string>>")))))
-    return found.select(*keep, F.concat_ws("/", F.lit("messages"), F.col("i").cast("string"), "field").alias("pointer"), "text")
+
+    @F.pandas_udf("array<struct<pointer:string,text:string>>")
+    def walk(values: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                return [{"pointer": "/".join(p), "text": t} for p, t in request_nodes(text) if t != ""]
+            except (TypeError, ValueError):
+                return []
+
+        return values.map(one)
+
+    return requests.select(*keep, F.inline(walk(F.col(body))))
 
 
 def unscannable(body: Column) -> Column:
-    """True where a message has a field that nothing scans: such a request is refused."""
-    messages = F.from_json(F.get_json_object(body, "$.messages"), "array<string>")
-    return F.coalesce(F.exists(messages, lambda m: F.exists(F.json_object_keys(m), lambda k: ~k.isin(*MESSAGE_FIELDS))), F.lit(False))
+    """True where a body has a text that nothing scans, in whatever field, part or shape: such a request is refused."""
 
+    @F.pandas_udf("boolean")
+    def refused(values: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                return not all(True for _ in request_nodes(text))
+            except (TypeError, ValueError):
+                return True
 
-def leaves(value, pointer: tuple = ()):
+        return values.map(one)
+
+    return refused(body)
+
+
+def leaves(value, pointer: tuple = (), escape: bool = False):
     """(pointer, text, was_number) of the strings and numbers in a JSON value; keys and truth values are none."""
     if isinstance(value, dict):
         for k, v in value.items():
-            yield from leaves(v, (*pointer, k))
+            yield from leaves(v, (*pointer, k.replace("~", "~0").replace("/", "~1") if escape else k), escape)
     elif isinstance(value, list):
         for i, v in enumerate(value):
-            yield from leaves(v, (*pointer, str(i)))
+            yield from leaves(v, (*pointer, str(i)), escape)
     elif isinstance(value, str):
         yield "/".join(pointer), value, False
     elif isinstance(value, int | float) and not isinstance(value, bool):
@@ -64,17 +151,23 @@ def argument_leaves(arguments: Column) -> Column:
 def written_back(body: Column, pointers: Column, texts: Column) -> Column:
     """``body`` with the texts at the pointers replaced; key order and everything else stay."""
 
+    def placed(value, path: list[str], text: str):
+        if not path:
+            return value if json.dumps(value) == text and not isinstance(value, str) else text
+        if isinstance(value, str):
+            # The pointer goes on in serialised JSON.
+            return json.dumps(placed(json.loads(value), path, text), ensure_ascii=False)
+        k = int(path[0]) if isinstance(value, list) else path[0].replace("~1", "/").replace("~0", "~")
+        value[k] = placed(value[k], path[1:], text)
+        return value
+
     @F.pandas_udf("string")
     def put(bodies: pd.Series, where: pd.Series, what: pd.Series) -> pd.Series:
         out = []
         for text, ps, ts in zip(bodies, where, what, strict=True):
             value = json.loads(text)
             for p, t in zip(ps, ts, strict=True):
-                *path, last = p.split("/")
-                at = value
-                for k in path:
-                    at = at[int(k)] if isinstance(at, list) else at[k]
-                at[int(last) if isinstance(at, list) else last] = t
+                value = placed(value, p.split("/"), t)
             out.append(json.dumps(value, ensure_ascii=False))
         return pd.Series(out)
 
