@@ -16,6 +16,8 @@ from textveil.llm import compactwindows, covertree, importance, lshforest, outli
 from textveil.llm.compactwindows import compact_windows, repeated_passages, without_passages
 from textveil.llm.components import connected_components
 
+from ..oracle import same
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -116,21 +118,6 @@ def test_passages_whose_earliest_meeting_fails(spark):
     assert len(got) >= 39
 
 
-def test_cover_tree_pairs():
-    rng = np.random.default_rng(3)
-    base = rng.normal(size=(40, 16))
-    points = np.concatenate([base + rng.normal(size=base.shape) * s for s in (0, 0.02, 0.1, 0.3, 0.5)])
-    points /= np.linalg.norm(points, axis=1)[:, None]
-    copies = rng.integers(1, 4, len(points))
-    hit = points @ points.T >= 0.9
-    np.fill_diagonal(hit, False)
-    n, _, edges = covertree.join_blocks(points, None, 0.9, copies, copies)
-    assert (n == hit @ copies).all() and all(hit[a, b] or a != b for a, b in edges)
-    a, b = points[:90], points[90:]
-    x, y, _ = covertree.join_blocks(a, b, 0.9, copies[:90], copies[90:])
-    assert (x == hit[:90, 90:] @ copies[90:]).all() and (y == copies[:90] @ hit[:90, 90:]).all()
-
-
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 150)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
@@ -296,3 +283,32 @@ def test_kth_largest_with_ties(spark, k):
     level, ties = importance.kth_largest(spark.createDataFrame([(v,) for v in values], "x double"), "x", k)
     want = sorted(values, reverse=True)
     assert level == want[k - 1] and ties == k - sum(v > level for v in values)
+
+
+def test_cover_trees_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "LEAST", 40)
+    monkeypatch.setattr(covertree, "MAX_CELLS", 9)
+    monkeypatch.setattr(covertree, "TILE", 64)
+    same(spark, queries.op7_embedding_near_dup, queries.ORACLE_SQL["op7_embedding_near_dup"], "/root/testdata/sf0.01")
+
+
+@pytest.mark.parametrize("dim, spread", [(3, 0.5), (8, 0.4), (64, 0.3)])
+def test_dual_traversal_against_all_pairs(dim, spread):
+    rng = np.random.default_rng(dim)
+    centers = rng.normal(size=(12, dim))
+    x, y = (covertree.unit(np.concatenate([centers[rng.integers(0, 12, n)] + rng.normal(size=(n, dim)) * spread / dim**0.5, rng.normal(size=(n, dim))])) for n in (150, 200))
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, : min(dim, 32)]
+    a, b = covertree.CoverTree(x), covertree.CoverTree(y)
+    for other in (None, b):
+        points = a.points if other is None else np.concatenate([a.points, b.points])
+        side = np.zeros(len(points), int) if other is None else np.repeat([0, 1], [len(x), len(y)])
+        copies = rng.integers(1, 4, len(points))
+        hit = points @ points.T >= 0.9
+        np.fill_diagonal(hit, False)
+        hit &= np.equal.outer(side, side) if other is None else ~np.equal.outer(side, side)
+        count, label = covertree.dual_traversal(a, other, axes, 0.9, copies)
+        assert (count == hit @ copies).all()
+        want = np.arange(len(points))
+        for _ in want:
+            want = np.minimum(want, np.where(hit, want[None, :], len(want)).min(axis=1))
+        assert len(set(zip(want.tolist(), label.tolist(), strict=True))) == len(set(want.tolist())) == len(set(label.tolist()))
