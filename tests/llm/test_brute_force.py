@@ -46,6 +46,46 @@ def test_quality_rules_part_junk_from_clean(spark):
     assert kept == set(range(300))
 
 
+def test_mcd_against_concentration_from_very_many_starts(spark):
+    """Small groups, a quarter of each planted far off: exact C-steps from 300 random starts find the least determinant."""
+    rng, rows, want = np.random.default_rng(8), [], {}
+    p, h_share = len(outliers.FEATURES), 0.75
+    upper, factor = np.triu_indices(p), outliers.consistency(0.75, p)
+
+    def fit(x, by):
+        return outliers.fitted(len(x), x.sum(axis=0), (x.T @ x)[upper], by)
+
+    def d2(x, state):
+        return np.einsum("ij,jk,ik->i", x - state[0], state[1], x - state[0])
+
+    for g, n in (("a", 60), ("b", 120), ("c", 200)):
+        x = np.concatenate([rng.normal(size=(n, p)) @ rng.normal(size=(p, p)) * 0.5, rng.normal(size=(n // 4, p)) * 0.3 + 12]) + rng.normal(size=p)
+        rows += [(g, *map(float, v)) for v in x]
+        best = None
+        for _ in range(300):
+            state = fit(x[rng.choice(len(x), p + 1, replace=False)], 1.0)
+            for _ in range(20):
+                state = fit(x[np.argsort(d2(x, state))[: math.ceil(h_share * len(x))]], factor)
+            best = state if best is None or state[2] < best[2] else best
+        want[g] = fit(x[d2(x, best) <= outliers.chi2_quantile(outliers.CORE, p)], outliers.consistency(outliers.CORE, p)), x
+    found = {r.g: r for r in outliers.mcd(spark.createDataFrame(rows, "g string, f0 double, f1 double, f2 double, f3 double"), "g").collect()}
+    cutoff = outliers.chi2_quantile(1 - 1e-5, p)
+    for g, (state, x) in want.items():
+        have = np.array(found[g].center), np.array(found[g].precision).reshape(p, p)
+        assert np.allclose(have[0], state[0], atol=0.15) and abs(found[g].logdet - state[2]) < 0.3
+        assert np.allclose(np.linalg.inv(have[1]), np.linalg.inv(state[1]), atol=0.25 * np.abs(np.linalg.inv(state[1])).max())
+        assert ((d2(x, have) > cutoff) == (d2(x, state) > cutoff)).mean() >= 0.99 and (d2(x, have)[-(len(x) // 5) :] > cutoff).all()
+
+
+def test_chi_square():
+    rng = np.random.default_rng(1)
+    x = (rng.normal(size=(200_000, 4)) ** 2).sum(axis=1)
+    assert all(abs((x <= outliers.chi2_quantile(q, 4)).mean() - q) < 0.005 for q in (0.1, 0.5, 0.75, 0.975))
+    near = rng.normal(size=(200_000, 4))
+    near = near[(near**2).sum(axis=1) <= outliers.chi2_quantile(0.75, 4)]
+    assert np.allclose(np.cov(near.T) * outliers.consistency(0.75, 4), np.eye(4), atol=0.03)
+
+
 def test_compact_windows_hold_every_run_once():
     rng = np.random.default_rng(5)
     for n in (1, 5, 9, 40):
