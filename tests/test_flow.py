@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from textveil.functions import regions
-from textveil.operators import pseudonymize
+from textveil.operators import pseudonymize, vault
 from textveil.operators.catalogue import Catalogue
 from textveil.streaming import holdback
 
@@ -38,6 +38,33 @@ def test_round_trip_and_scope(spark):
     assert foreign.first().restored == "[[PERSON_A1]]"
 
 
+def test_null_and_repeated_places_are_masked(spark):
+    texts = [(None, None, "Mail max@test.de."), ("a", None, "Von max@test.de an eva@test.de."), ("a", 1, "Nur eva@test.de"), ("a", 1, "Hier max@test.de und Müller"), (None, 2, None)]
+    result = pseudonymize.pseudonymize(spark.createDataFrame(texts, "mapping string, seq int, text string"), Catalogue())
+    out = result.texts.collect()
+    assert sorted(r.n_replaced for r in out) == [0, 1, 1, 1, 2] and not any("@" in r.pseudonymised for r in out)
+    back = pseudonymize.reverse(result.texts, result.entries).collect()
+    assert sorted(r.restored for r in back) == sorted(t or "" for _, _, t in texts)
+
+
+def test_outcomes_strict_and_adopted(spark):
+    docs = spark.createDataFrame([("a", 1, "max@test.de, 4111 1111 1111 1111"), ("b", 2, "eva@test.de")], "mapping string, seq int, text string")
+    done = pseudonymize.pseudonymize(docs, Catalogue())
+    asked = spark.createDataFrame([("a", " ".join([r.placeholder for r in done.entities.orderBy("suffix_index").collect()] + ["[[PERSON_ZZ9]]", "[[PERSON_ZZ9]]"]))], "mapping string, pseudonymised string")
+    row = pseudonymize.reverse(asked, done.entries, entities=done.entities).first()
+    assert row.restored.startswith("max@test.de [[CARD_") and len(row.foreign) == len(row.irreversible) == len(row.unknown) == 1
+    with pytest.raises(Exception, match="another mapping"):
+        pseudonymize.reverse(asked, done.entries, entities=done.entities, strict=True).collect()
+    more = pseudonymize.pseudonymize(spark.createDataFrame([("c", 3, "[[EMAIL_A1]] eva@test.de neu@test.de")], "mapping string, seq int, text string"), Catalogue(), entities=done.entities, adopt=True)
+    known = {r.norm: r.placeholder for r in done.entities.collect()}
+    text = more.texts.first().pseudonymised
+    assert text.startswith("[[EMAIL_A1]] " + known["eva@test.de"]) and more.entities.count() == 4 and "neu" not in text
+    wanted = lambda *p: spark.createDataFrame([(x,) for x in p], "placeholder string")
+    maps = spark.createDataFrame([("a", 1), ("b", 2)], "mapping string, created_at int")
+    find = lambda *p: tuple(vault.mapping_for(done.entries, maps, wanted(*p)).first())
+    assert find(known["eva@test.de"]) == ("b", None) and find("[[X_A1]]") == (None, "unknown") and find(known["eva@test.de"], known["max@test.de"]) == (None, "spread")
+
+
 def test_refuses_texts_with_placeholders(spark):
     docs = spark.createDataFrame([("a", 1, "x [[PERSON_A1]]")], "mapping string, seq int, text string")
     with pytest.raises(Exception, match="pseudonymised already"):

@@ -31,14 +31,17 @@ def get(name: str) -> Callable[[Column], Column]:
     return REGISTRY[name]
 
 
-def compatible(text: Column) -> Column:
-    """NFKC form.  Spark has no function for it; only texts that are not ASCII go to Python, in Arrow batches."""
+NOT_ASCII = r"[^\x00-\x7F]"
+
+
+def nfkc(text: Column) -> Column:
+    """NFKC form, in Arrow batches: Spark has no function for it.  ASCII texts are their own; filter them off first."""
 
     @F.pandas_udf("string")
-    def nfkc(values: pd.Series) -> pd.Series:
+    def run(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
-    return F.when(text.rlike(r"[^\x00-\x7F]"), nfkc(text)).otherwise(text)
+    return run(text)
 
 
 def folded(text: Column) -> Column:
@@ -117,7 +120,11 @@ def person(x: Column) -> Column:
     return folded(F.array_join(rest, " "))
 
 
-def normalize(x: Column, name: str, nfkc: bool = True) -> Column:
-    """Key of a value by a named normalizer; NFKC comes first where the name asks for it."""
-    plain = name in ("identity", "digits", "email", "phone")
-    return get(name)(x if plain or not nfkc else compatible(x))
+def key_of(x: Column, compatible: Column, name: str) -> Column:
+    """Key of a value by a named normalizer, given the value and its NFKC form, which most names ask for."""
+    return get(name)(x if name in ("identity", "digits", "email", "phone") else compatible)
+
+
+def normalize(x: Column, name: str) -> Column:
+    """Key of a value by a named normalizer."""
+    return key_of(x, nfkc(x), name)

@@ -65,6 +65,11 @@ def unprotected(candidates: Column, protected: Column) -> Column:
     return F.filter(candidates, lambda s: ~regions.touches(protected, s["start"], s["end"]))
 
 
+def apart_from(candidates: Column, taken: Column) -> Column:
+    """Candidates that overlap none of the spans ``taken``, such as placeholders already in a text."""
+    return F.filter(candidates, lambda s: ~F.exists(taken, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+
+
 def cut_to_exact(candidates: Column, doc: Column) -> Column:
     """Model spans that overlap rule spans keep their longest piece outside of them (the first of
     equals, three characters at least) or go."""

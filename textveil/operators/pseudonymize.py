@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import finders, normalize, placeholder, regions
-from ..functions.matching import let, replaced
+from ..functions.matching import let, replaced, spans
 from . import merge, vault
 from .catalogue import Catalogue
 
@@ -24,7 +24,10 @@ class Result:
 
 
 def detect(docs: DataFrame, catalogue: Catalogue, names: list[str] | None = None, text: str = "text", scan_code: bool = False) -> DataFrame:
-    """``docs`` with regions, view and accepted ``candidates``; equal texts should be made one before."""
+    """``docs`` with regions, view and accepted ``candidates``; a null text counts as empty.
+
+    Every row is scanned; ``detect_once`` scans equal texts once.
+    """
     value = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("regions", F.array().cast(regions.REGIONS) if scan_code else regions.protected_regions(value))
     out = out.withColumn("view", value if scan_code else regions.masked(value, F.col("regions")))
@@ -36,62 +39,107 @@ def detect(docs: DataFrame, catalogue: Catalogue, names: list[str] | None = None
     return merge.resolved(out.withColumn("text", value), catalogue.thresholds(), catalogue.validators(), catalogue.sweeps(), catalogue.blanket)
 
 
+def detect_once(docs: DataFrame, catalogue: Catalogue, names: list[str] | None = None, text: str = "text") -> DataFrame:
+    """``docs`` with ``candidates``, where equal texts are scanned once: worth its shuffle where texts repeat much."""
+    key = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    distinct = docs.select(key.alias("__text_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["__text_key"])
+    spans = vault._held(detect(distinct, catalogue, names).select("__text_key", "candidates"))
+    return docs.withColumn("__text_key", key).join(spans, "__text_key").drop("__text_key")
+
+
+#: Names a row of the texts at hand, as mappings and places may repeat or be null.
+ROW = "__row"
+
+
 def mentions_of(detected: DataFrame, catalogue: Catalogue) -> DataFrame:
-    """One row per accepted span: mapping, seq, start, end, type, surface, norm."""
-    rows = detected.select("mapping", "seq", F.inline("candidates")).withColumnRenamed("text", "surface")
+    """One row per accepted span: mapping, seq, start, end, type, surface, norm (and ``__row``, if there)."""
+    keep = [c for c in (ROW, "mapping", "seq") if c in detected.columns]
+    rows = detected.select(*keep, F.inline("candidates")).withColumnRenamed("text", "surface")
+    # Only surfaces that are not ASCII go to Python: they are parted by filters, since a CASE computes both of its sides.
+    other = F.coalesce(F.col("surface").rlike(normalize.NOT_ASCII), F.lit(False))
+    rows = rows.where(~other).withColumn("compatible", F.col("surface")).unionByName(rows.where(other).withColumn("compatible", normalize.nfkc(F.col("surface"))))
     norm = F.lit(None).cast("string")
     for t in catalogue.enabled():
-        norm = F.when(F.col("type") == t.name, normalize.normalize(F.col("surface"), t.normalizer)).otherwise(norm)
-    return rows.withColumn("norm", norm).select("mapping", "seq", "start", "end", "type", "surface", "norm")
+        norm = F.when(F.col("type") == t.name, normalize.key_of(F.col("surface"), F.col("compatible"), t.normalizer)).otherwise(norm)
+    return rows.withColumn("norm", norm).select(*keep, "start", "end", "type", "surface", "norm")
+
 
+def pseudonymize(docs: DataFrame, catalogue: Catalogue, names: list[str] | None = None, entities: DataFrame | None = None, adopt: bool = False) -> Result:
+    """``docs``: mapping, seq (order over all texts), text.
 
-def pseudonymize(docs: DataFrame, catalogue: Catalogue, names: list[str] | None = None, entities: DataFrame | None = None) -> Result:
-    """``docs``: mapping, seq (order over all texts), text.  Texts that hold placeholders are an error."""
-    taken = F.when(placeholder.contains(F.col("text")), F.raise_error(F.lit("a text is pseudonymised already")).cast("string"))
-    detected = vault._held(detect(docs.withColumn("text", F.coalesce(taken, F.col("text"))), catalogue, names))
+    Every row is masked for itself, whatever repeats or is null in mapping and seq; rows of a null
+    mapping share one.  ``entities``: what the vault has already; its numbers go on.  Texts that
+    hold placeholders are an error, or with ``adopt`` keep them, and no span may overlap one.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    if not adopt:
+        taken = F.when(placeholder.contains(F.col("text")), F.raise_error(F.lit("a text is pseudonymised already")).cast("string"))
+        text = F.coalesce(taken, text)
+    found = detect(docs.select("mapping", "seq", text.alias("text")), catalogue, names)
+    if adopt:
+        known = spans(F.col("text"), placeholder.PLACEHOLDER)
+        found = found.withColumn("__issued", known).withColumn("candidates", merge.apart_from(F.col("candidates"), F.col("__issued")))
+    detected = vault._held(found.select(F.monotonically_increasing_id().alias(ROW), "mapping", "seq", "text", "candidates"))
     mentions = vault._held(mentions_of(detected, catalogue).where(F.col("norm") != ""))
     new = vault.new_entities(mentions, entities)
     known = new if entities is None else entities.select(*new.columns).unionByName(new)
     known = vault._held(known)
     entries = vault.restore_entries(mentions, known, catalogue.irreversible())
-    pieces = mentions.join(known, ["type", "norm"]).groupBy("mapping", "seq").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("placeholder").alias("new")))).alias("pieces"))
-    texts = detected.select("mapping", "seq", "text").join(pieces, ["mapping", "seq"], "left")
+    pieces = mentions.join(known, ["type", "norm"]).groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("placeholder").alias("new")))).alias("pieces"))
+    texts = detected.select(ROW, "mapping", "seq", "text").join(pieces, ROW, "left")
     none = F.array().cast("array<struct<start:int,end:int,new:string>>")
     texts = texts.withColumn("pieces", F.coalesce("pieces", none)).withColumn("pseudonymised", replaced(F.col("text"), F.col("pieces")))
-    return Result(texts.select("mapping", "seq", "pseudonymised", F.size("pieces").alias("n_replaced")), mentions, known, entries)
+    return Result(texts.select("mapping", "seq", "pseudonymised", F.size("pieces").alias("n_replaced")), mentions.drop(ROW), known, entries)
 
 
-def restored(text: Column, table: Column) -> Column:
-    """``text`` with the placeholders that ``table`` (map of placeholder to original) has put back."""
-    def build(m: Column) -> Column:
-        n = F.size(m["found"])
-        back = lambda i: F.coalesce(F.try_element_at(table, F.get(m["found"], i)), F.get(m["found"], i))
-        part = lambda i: F.concat(F.get(m["gaps"], i), F.when(i < n, back(i)).otherwise(F.lit("")))
-        return F.array_join(F.transform(F.sequence(F.lit(0), n), part), "")
+#: What may be a bent placeholder: brackets, quotes and blanks around, blanks for the underscores, any case; its type and code.
+BENT = r"(?iU)(?<!\w)\[{0,2}\s*[\"']?\s*([A-Z][A-Z0-9]*(?:[_\s]+[A-Z0-9]+)*?)[_\s]*([A-Z]+[0-9]+)\s*[\"']?\s*\]{0,2}(?!\w)"
 
-    whole = let(F.struct(placeholder.found(text).alias("found"), F.split(text, placeholder.PLACEHOLDER, -1).alias("gaps")), build)
-    return F.when(placeholder.contains(text), whole).otherwise(text)
 
+def _restored_by(texts: DataFrame, entries: DataFrame, column: str, pattern: str, key: Column) -> DataFrame:
+    """``column`` with the matches of ``pattern`` put back whose ``key`` (of ``found``) the text's mapping has an entry for.
 
-def tolerant(text: Column, table: Column) -> Column:
-    """``text`` with placeholders that a model bent (brackets, quotes, blanks, case) put back, literally."""
+    Matches become rows that meet the entries by mapping and placeholder, and go back to their row.
+    """
+    cut_up = F.struct(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(0)).alias("found"), F.split(F.col(column), pattern, -1).alias("gaps"))
+    rows = texts.where(F.col(column).rlike(pattern)).select(ROW, "mapping", F.posexplode(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(0))).alias("i", "found"))
+    rows = rows.withColumn("placeholder", key)
+    own = entries.select(F.col("mapping").alias("__mapping"), "placeholder", "original").dropDuplicates(["__mapping", "placeholder"])
+    hits = rows.join(own, rows["mapping"].eqNullSafe(own["__mapping"]) & (rows["placeholder"] == own["placeholder"])).select(ROW, "i", "original")
+    back = hits.groupBy(ROW).agg(F.map_from_entries(F.collect_list(F.struct("i", "original"))).alias("__back"))
+    out = texts.join(back, ROW, "left")
 
-    def step(acc: Column, e: Column) -> Column:
-        core = F.regexp_replace(e["key"], r"[\[\]]", "")
-        kind, code = F.regexp_extract(core, "^(.*)_([A-Z]+[0-9]+)$", 1), F.regexp_extract(core, "^(.*)_([A-Z]+[0-9]+)$", 2)
-        pattern = F.concat(F.lit(r"(?iU)(?<!\w)\[{0,2}\s*[\"']?\s*"), F.replace(kind, F.lit("_"), F.lit(r"[_\s]*")), F.lit(r"[_\s]*"), code, F.lit(r"\s*[\"']?\s*\]{0,2}(?!\w)"))
-        return F.regexp_replace(acc, pattern, F.regexp_replace(e["value"], r"([\\$])", r"\\$1"))
+    def build(m: Column) -> Column:
+        n = F.size(m["found"])
+        one = lambda i: F.coalesce(F.try_element_at("__back", i), F.get(m["found"], i))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.get(m["gaps"], i), F.when(i < n, one(i)).otherwise(F.lit("")))), "")
 
-    longest_first = F.array_sort(F.map_entries(table), lambda a, b: F.char_length(b["key"]) - F.char_length(a["key"]))
-    return F.aggregate(longest_first, text, step)
+    return out.withColumn(column, F.when(F.col("__back").isNotNull(), let(cut_up, build)).otherwise(F.col(column))).drop("__back")
 
 
-def reverse(texts: DataFrame, entries: DataFrame, fuzzy: bool = False, text: str = "pseudonymised") -> DataFrame:
+def reverse(texts: DataFrame, entries: DataFrame, fuzzy: bool = False, text: str = "pseudonymised", entities: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """``texts`` (mapping, ...) with ``restored``, by the entries of their own mapping only.
 
-    A mapping's entries are gathered as a map; texts without a placeholder skip the lookup.
+    ``fuzzy`` also puts back what a model bent.  With ``entities`` the placeholders that stay are
+    reported once each, in order: ``irreversible``, ``foreign`` and ``unknown`` arrays; ``strict``
+    then makes a foreign one an error.  Rows stay apart even if all of their columns are equal.
     """
-    table = entries.groupBy("mapping").agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "original"))).alias("__table"))
-    out = texts.join(table, "mapping", "left").withColumn("__table", F.coalesce("__table", F.create_map().cast("map<string,string>")))
-    value = restored(F.col(text), F.col("__table"))
-    return out.withColumn("restored", tolerant(value, F.col("__table")) if fuzzy else value).drop("__table")
+    out = vault._held(texts.withColumn(ROW, F.monotonically_increasing_id()).withColumn("restored", F.col(text)))
+    out = _restored_by(out, entries, "restored", placeholder.PLACEHOLDER, F.col("found"))
+    if fuzzy:
+        core = lambda k: F.regexp_extract("found", BENT, k)
+        key = F.concat(F.lit("[["), F.upper(F.regexp_replace(core(1), r"(?U)[_\s]+", "_")), F.lit("_"), F.upper(core(2)), F.lit("]]"))
+        out = _restored_by(out, entries, "restored", BENT, key)
+    if entities is not None:
+        out = vault._held(out)
+        left = out.select(ROW, "mapping", F.posexplode(placeholder.found(F.col("restored"))).alias("i", "placeholder"))
+        judged = vault.outcomes(left, entries, entities).toDF("__mapping", "__placeholder", "outcome")
+        same = F.col("mapping").eqNullSafe(F.col("__mapping")) & (F.col("placeholder") == F.col("__placeholder"))
+        seen = left.join(judged, same).groupBy(ROW, "placeholder", "outcome").agg(F.min("i").alias("i"))
+        lists = {k: F.array_sort(F.collect_list(F.when(F.col("outcome") == k, F.struct("i", "placeholder")))) for k in ("irreversible", "foreign", "unknown")}
+        seen = seen.groupBy(ROW).agg(*[F.transform(v, lambda x: x["placeholder"]).alias(k) for k, v in lists.items()])
+        out = out.join(seen, ROW, "left").withColumns({k: F.coalesce(k, F.array().cast("array<string>")) for k in lists})
+        if strict:
+            refused = F.raise_error(F.concat(F.lit("placeholders of another mapping: "), F.array_join("foreign", ", "))).cast("string")
+            out = out.withColumn("restored", F.when(F.size("foreign") > 0, refused).otherwise(F.col("restored")))
+    return out.drop(ROW)

@@ -56,6 +56,13 @@ def restore_entries(mentions: DataFrame, entities: DataFrame, irreversible: list
     return agg.join(entities.select("type", "norm", "placeholder"), ["type", "norm"]).select("mapping", "placeholder", "type", "original", "occurrences")
 
 
+def surface_forms(mentions: DataFrame, entities: DataFrame, irreversible: list[str], known: DataFrame | None = None) -> DataFrame:
+    """placeholder, original of every spelling of reversible entities, each once; those in ``known`` are left out."""
+    keep = mentions.where(~F.col("type").isin(*irreversible)) if irreversible else mentions
+    forms = keep.join(entities.select("type", "norm", "placeholder"), ["type", "norm"]).select("placeholder", F.col("surface").alias("original")).distinct()
+    return forms if known is None else forms.join(known, ["placeholder", "original"], "left_anti")
+
+
 def stored_values(mentions: DataFrame, irreversible: list[str]) -> DataFrame:
     """type, stored value of each entity: its key, or for irreversible types the key's SHA-256."""
     hidden = F.col("type").isin(*irreversible) if irreversible else F.lit(False)
@@ -81,6 +88,17 @@ def covering_mappings(entries: DataFrame, mappings: DataFrame, wanted: DataFrame
     return have.join(n, F.col("have") == F.col("need")).select("mapping", "created_at")
 
 
+def mapping_for(entries: DataFrame, mappings: DataFrame, wanted: DataFrame, newest: int = 50) -> DataFrame:
+    """One row, mapping and error: the latest mapping that issued all ``wanted`` placeholders, else why there is none.
+
+    ``error`` is "unknown" if some placeholder was issued by no mapping, "spread" if no single one has all.
+    """
+    covering = covering_mappings(entries, mappings, wanted, newest).agg(F.max_by("mapping", F.struct("created_at", "mapping")).alias("mapping"))
+    missing = wanted.select("placeholder").distinct().join(entries.select("placeholder"), "placeholder", "left_anti").agg((F.count("*") > 0).alias("missing"))
+    why = F.when(F.col("mapping").isNotNull(), F.lit(None).cast("string")).when(F.col("missing"), "unknown").otherwise("spread")
+    return covering.join(missing).select("mapping", why.alias("error"))
+
+
 def irreversible_placeholders(entities: DataFrame, entries: DataFrame) -> DataFrame:
     """Placeholders whose entity has no spelling: read from the vault, not from a catalogue."""
     return entities.join(entries.select("placeholder").distinct(), "placeholder", "left_anti").select("placeholder")
@@ -89,10 +107,11 @@ def irreversible_placeholders(entities: DataFrame, entries: DataFrame) -> DataFr
 def outcomes(mentioned: DataFrame, entries: DataFrame, entities: DataFrame) -> DataFrame:
     """mapping, placeholder, outcome: restored, else irreversible, else foreign, else unknown."""
     asked = mentioned.select("mapping", "placeholder").distinct()
-    own = entries.select("mapping", "placeholder").withColumn("own", F.lit(True))
+    own = entries.select(F.col("mapping").alias("__mapping"), F.col("placeholder").alias("__placeholder")).distinct().withColumn("own", F.lit(True))
+    mine = F.col("mapping").eqNullSafe(F.col("__mapping")) & (F.col("placeholder") == F.col("__placeholder"))
     known = entities.select("placeholder").withColumn("known", F.lit(True))
     spelled = entries.select("placeholder").distinct().withColumn("spelled", F.lit(True))
-    out = asked.join(own, ["mapping", "placeholder"], "left").join(known, "placeholder", "left").join(spelled, "placeholder", "left")
+    out = asked.join(own, mine, "left").join(known, "placeholder", "left").join(spelled, "placeholder", "left")
     kind = F.when(F.col("own"), "restored").when(F.col("known") & F.col("spelled").isNull(), "irreversible").when(F.col("known"), "foreign").otherwise("unknown")
     return out.select("mapping", "placeholder", kind.alias("outcome"))
 
