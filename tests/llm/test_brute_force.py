@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textveil.llm import compactwindows, covertree, importance, lshforest, outliers, packing, queries, toxicity, warc
+from textveil.llm import compactwindows, covertree, importance, lshforest, outliers, packing, queries, toxicity, urlrules, warc
 from textveil.llm.compactwindows import compact_windows, repeated_passages, without_passages
 from textveil.llm.components import connected_components
 
@@ -274,6 +274,26 @@ def test_best_fit_runs_are_best_fit():
     assert rest == collections.Counter(room)
 
 
+def test_url_rules_of_any_length(spark):
+    """Labelled URLs of which only five tokens together, two of them always beside each other, mean block."""
+    rng, rows = random.Random(6), []
+    for i in range(400):
+        bits = [rng.random() < 0.75 for _ in range(4)]
+        keys = [f"k{j}" for j, b in enumerate(bits) if b] + (["twin"] if bits[0] else [])
+        rows.append((i, f"http://h{i}.{'bad' if all(bits) else 'good'}.net/x?" + "&".join(f"{k}=1" for k in keys)))
+    rows += [(1000, "http://other.org/x?k0=1&k1=2&k2=3&k3=4"), (1001, "http://other.org/x?twin=1&k1=2&k2=3&k3=4"), (1002, "http://other.org/x?twin=1&k1=2&k2=3")]
+    rules = [("block", "bad.net", "/"), ("allow", "good.net", "/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    # Host and scheme tokens left out: what remains takes all four keys.
+    labelled = pages.where("page_id < 1000").select(F.col("page_id").alias("row"), F.filter(urlrules.url_tokens(F.lit(""), F.lit(""), F.col("url")), lambda x: x.startswith("key=")).alias("tokens"), F.col("url").contains("bad").alias("blocked"))
+    alike = urlrules.alike_tokens(labelled, 0.01)
+    assert {r.token: r.item for r in alike.collect()} == {f"key=k{j}": f"key=k{j}" for j in range(4)} | {"key=twin": "key=k0"}
+    mined = urlrules.mine_rules(labelled, alike).collect()
+    assert [sorted(r.tokens) for r in mined] == [[f"key=k{j}" for j in range(4)]]
+    out = {r.page_id: r for r in urlrules.url_filter(pages, rules).collect()}
+    assert [out[i].method_verdict for i in (1000, 1001, 1002)] == ["block", "block", "allow"]
+
+
 def test_word_ids_are_the_tokenizers():
     coder = packing.WordIds(queries.tokenizer_path())
     texts = ["Hello, WORLD's it's\t\n x", "", " ", "é\u0301 ﬁ \u00a0ab\x1cc <|endoftext|>d 12 3", "ǅ İ 中文字 a\r\nb"] * 2

@@ -1,7 +1,7 @@
 """URL filters: listed rules by host and path, and association rules mined from labelled URLs.
 
-A URL is a basket of tokens.  FP-growth finds token sets that are frequent among labelled URLs;
-those whose consequent is the label ``block`` with enough confidence and support become rules.
+A URL is a basket of tokens, in which tokens of just the same labelled URLs are one item.
+FP-growth finds item sets that are frequent among labelled URLs; those whose consequent is the label ``block`` with enough confidence and support become rules.
 Rules match by an inverted index: each is filed under every token with the number of its tokens,
 and fires on a URL that has them all.  Nothing here runs outside Spark's own operators.
 """
@@ -14,10 +14,9 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, pick, sized
 
 BLOCK_ITEM = "label=block"
-MAX_LEN = 3
 
 
 def url_host(url: Column) -> Column:
@@ -47,7 +46,7 @@ def listed_verdict(host: Column, path: Column, rules: Sequence[tuple[str, str, s
 
 
 def url_tokens(host: Column, path: Column, url: Column) -> Column:
-    """Distinct tokens: host labels by place, first path part, last part's suffix, query keys, fragment.
+    """Distinct tokens: host labels and path parts by place, query keys, scheme.
 
     Digits are cut from tokens, since a number names one page and no kind of page.
     """
@@ -61,20 +60,36 @@ def url_tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_distinct(F.concat(by_place, kinds, keys, scheme))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.9) -> DataFrame:
-    """rule_id, tokens, confidence, support: minimal token sets of ``labelled`` that imply ``block``.
+def alike_tokens(labelled: DataFrame, min_support: float) -> DataFrame:
+    """token, item of each token that at least ``min_support`` of ``labelled`` (row, tokens, blocked) have.
 
-    ``labelled``: tokens array<string>, blocked boolean.  A basket has a bounded number of
-    tokens, so at most baskets' mean size / ``min_support`` tokens are frequent, whatever the
-    number of URLs.  Sets of up to ``MAX_LEN`` tokens are used, and a set that holds a smaller
-    rule is dropped.
+    Tokens of just the same rows are one item, the first of them in order, so that no token doubles
+    the sets of another one that always stands beside it.  Same rows: the same number, and the same
+    sum and exclusive or of two hashes of the row.  A basket has a bounded number of tokens, so mean
+    basket size / ``min_support`` tokens at most are left, whatever the number of URLs.
     """
-    baskets = labelled.select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCK_ITEM))).otherwise(F.col("tokens")).alias("items"))
+    n = labelled.count()
+    tokens = labelled.select("row", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(
+        F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "row"), 24)).alias("s"), F.bit_xor(F.xxhash64(F.lit(2), "row")).alias("x")
+    )
+    tokens = tokens.where(F.col("n") >= F.lit(min_support) * n)
+    return cut(tokens.join(tokens.groupBy("n", "s", "x").agg(F.min("token").alias("item")), ["n", "s", "x"]).select("token", "item"))
+
+
+def mine_rules(labelled: DataFrame, alike: DataFrame, min_support: float = 0.01, min_confidence: float = 0.9) -> DataFrame:
+    """rule_id, tokens, confidence, support: sets of items of ``labelled`` that imply ``block``.
+
+    ``labelled``: row, tokens array<string>, blocked boolean; ``alike``: items of the frequent
+    tokens.  Sets of any size are used.  One that holds a rule of one item, or a rule of all its
+    items but one, is dropped: it fires only where that one does.
+    """
+    items = labelled.select("row", F.explode("tokens").alias("token")).join(sized(alike), "token").groupBy("row").agg(F.collect_set("item").alias("items"))
+    baskets = labelled.select("row", "blocked").join(items, "row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    baskets = baskets.select(F.when(F.col("blocked"), F.array_append("items", F.lit(BLOCK_ITEM))).otherwise(F.col("items")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCK_ITEM))) & (F.size("antecedent") <= MAX_LEN))
+    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK_ITEM)))
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     rules = cut(rules.withColumn("rule_id", F.array_join("tokens", " ")))
-    # A rule is not minimal if one of its tokens, or all but one, are a rule (sets of three at most).
     subsets = F.when(F.size("tokens") > 1, F.concat(F.transform("tokens", lambda x: F.array(x)), F.transform("tokens", lambda x: F.array_except("tokens", F.array(x)))))
     held = rules.select("rule_id", F.explode(F.array_distinct(F.transform(subsets, lambda x: F.array_join(x, " ")))).alias("sub"))
     wider = held.join(rules.select(F.col("rule_id").alias("sub")), "sub", "left_semi").select("rule_id")
@@ -98,18 +113,23 @@ def url_filter(
     learns from them which tokens mean ``block``.  ``method_verdict`` is that of the mined rules
     for every URL; ``verdict`` is the listed rule's, else the method's.  A null URL, or one
     without ``://``, has an empty host and path, no rule and the verdict of its tokens.  With no
-    labelled URL at all nothing is mined and the method allows.
+    labelled URL at all nothing is mined and the method allows.  Rows that repeat count as often
+    as they occur, and each gets its row; an empty table gives no rows.
     """
     rows = pick(pages, *dict.fromkeys([page_id, url])).select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"))
     rows = rows.withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))})
     rule, verdict = listed_verdict(F.col("host"), F.col("path"), rules)
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("given"), url_tokens(F.col("host"), F.col("path"), F.col("url")).alias("tokens"))
     rows = cut(rows)
-    mined = cut(mine_rules(rows.where(F.col("given").isNotNull()).select("tokens", (F.col("given") == "block").alias("blocked")), min_support, min_confidence))
-    # Tokens that rules use: frequent ones, so mean basket size / min_support of them at most.
-    used = [F.lit(r.token) for r in mined.select(F.explode("tokens").alias("token")).distinct().orderBy("token").collect()]
-    rows = rows.withColumn("basket", F.array_intersect("tokens", F.array(*used)) if used else F.array().cast("array<string>"))
-    rows = rows.withColumn("basket", F.array_sort("basket")).drop("tokens")
+    labelled = rows.where(F.col("given").isNotNull()).select(F.monotonically_increasing_id().alias("row"), "tokens", (F.col("given") == "block").alias("blocked"))
+    labelled = cut(labelled)
+    alike = alike_tokens(labelled, min_support)
+    mined = cut(mine_rules(labelled, alike, min_support, min_confidence))
+    # Tokens of the items that rules use: frequent ones, so mean basket size / min_support of them at most.
+    used = alike.join(mined.select(F.explode("tokens").alias("item")).distinct(), "item").orderBy("token").collect()
+    name = F.create_map(*[F.lit(x) for r in used for x in (r.token, r.item)]) if used else None
+    rows = rows.withColumn("basket", F.array_intersect("tokens", F.array(*[F.lit(r.token) for r in used])) if used else F.array().cast("array<string>"))
+    rows = rows.withColumn("basket", F.array_sort(F.array_distinct(F.transform("basket", lambda x: name[x]))) if used else F.col("basket")).drop("tokens")
     hit = fired(rows.select(F.col("basket").alias("tokens")), mined).select(F.col("tokens").alias("basket"), F.lit("block").alias("found"))
     rows = rows.join(hit, "basket", "left").withColumn("method_verdict", F.coalesce("found", F.lit("allow")))
     return rows.select("page_id", "host", "path", "rule", F.coalesce("given", "method_verdict").alias("verdict"), "method_verdict")
