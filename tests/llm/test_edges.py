@@ -58,9 +58,24 @@ def test_passages(docs, none):
     assert (5, 0, 80, 4) in rows and {r[0] for r in rows} == {5, 7, 8}
     left = compactwindows.without_passages(docs, spans)
     assert left.columns == docs.columns and left.count() == len(DOCS) - 2
+    assert all(r[c] == "x" for r in left.collect() for c in CLASH)
     assert compactwindows.repeated_passages(none).count() == 0 and compactwindows.without_passages(none, spans).count() == 0
 
 
+def test_passages_of_repeated_and_missing_ids(spark):
+    other = " ".join(f"v{i}" for i in range(90))
+    rows = [(1, PROSE), (1, "kurz " + other), (2, "lead " + PROSE + " tail"), (None, "so " + other), (None, "x " + PROSE), (None, "x " + PROSE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = compactwindows.repeated_passages(docs)
+    # Of id 1 the text of the smaller digest comes first, the other one after all ids.
+    assert {(r.doc_id, r.start_word, r.end_word, r.source_id) for r in spans.collect()} == {(1, 0, 80, 2), (None, 1, 91, 1), (None, 1, 81, 2)}
+    left = sorted(r.text for r in compactwindows.without_passages(docs, spans).collect())
+    # One text of each passage keeps it, whichever row of equal rank comes first.
+    assert sum(PROSE in t for t in left) == 1 and sum(other in t for t in left) == 1 and "x " in left
+    named = docs.select(F.concat(F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias("doc_id"), "text")
+    assert compactwindows.repeated_passages(named).where("doc_id = 'd?' and source_id = 'd2'").count() == 1
+
+
 def test_warc(spark):
     rows = [(None, None, None), (1, "http://a/", None), (2, None, ""), (3, "u", "z" * 150), (3, "u", "z" * 150), (4, "u", "z" * 150), (None, "u", "z" * 150), (5, "u", "y" * 3_000_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in CLASH})
