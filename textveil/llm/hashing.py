@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 400_000
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
