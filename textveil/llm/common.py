@@ -54,11 +54,12 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store that is of no more use."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that are of no more use."""
+    for df in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            place = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
