@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.llm.common import fresh_path, slim_join
+from textveil.llm.common import free_shuffles, fresh_path, slim_join
 from textveil.llm.compactwindows import repeated_passages, without_passages
 from textveil.llm.lshforest import jaccard_join
 from textveil.llm.mixing import mix_sources
@@ -86,5 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, f"stage-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        free_shuffles(spark)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -39,9 +39,18 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
+    free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect garbage, on which Spark deletes shuffle files of plans that have ended.
+
+    A driver with little to do rarely collects by itself, and the files of all earlier stages stay.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of up to ``rows`` rows for what is planned and run inside: for rows that carry whole texts."""
