@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textveil.llm import compactwindows, covertree, importance, lshforest, outliers, packing, queries, toxicity, urlrules, warc
+from textveil.llm import common, compactwindows, covertree, importance, lshforest, outliers, packing, queries, toxicity, urlrules, warc
 from textveil.llm.compactwindows import compact_windows, repeated_passages, without_passages
 from textveil.llm.components import connected_components
 
@@ -176,20 +176,37 @@ def test_components(spark):
             assert (got[x] == got[y]) == (root(x) == root(y))
 
 
-def test_forest_depth_meets_recall():
-    d = lshforest.depth_for(0.8, 0.9995)
-    assert 1 - (1 - 0.8**d) ** lshforest.TREES >= 0.9995 > 1 - (1 - 0.8 ** (d + 1)) ** lshforest.TREES
+def test_forest_shortens_until_its_recall():
+    low = lshforest.shortest(0.8, 0.99999)
+    assert lshforest.met(0.8, low) >= 0.99999 > lshforest.met(0.8, low + 1)
+    depths = [lshforest.shortened(s, 0.8, 0.99999) for s in ([], [0.8] * 500, [0.9] * 500, [0.99] * 100_000)]
+    assert depths[:2] == [low, low] and depths == sorted(depths) and depths[-1] > low
 
 
 def test_forest_recall_of_its_own_labels():
-    """Pairs of sets whose similarity is just 0.8, by the labels that the join draws."""
-    rng, pairs, missed = np.random.default_rng(9), 40_000, 0
+    """Pairs of sets whose similarity is just 0.8, by the labels that the join draws; each depth as the formula says."""
+    rng, pairs, low = np.random.default_rng(9), 40_000, lshforest.shortest(0.8, 0.99999)
+    missed = np.zeros(lshforest.LEVELS + 1)
     for _ in range(4):
         codes = rng.integers(0, 1 << 63, (pairs // 4, 50), dtype=np.uint64)
         both = np.stack([codes[:, :45], np.concatenate([codes[:, :40], codes[:, 45:]], axis=1)], axis=1)
-        found = lshforest.labels(both.ravel(), np.arange(pairs // 2 + 1) * 45, lshforest.depth_for(0.8, 0.9995)).reshape(-1, 2, lshforest.TREES)
-        missed += int((~(found[:, 0] == found[:, 1]).any(axis=1)).sum())
-    assert missed <= 0.0005 * pairs
+        found = lshforest.labels(both.ravel(), np.arange(pairs // 2 + 1) * 45, low).reshape(-1, 2, lshforest.TREES)
+        for k in range(lshforest.LEVELS + 1):
+            cut = found >> (lshforest.BITS * (lshforest.LEVELS - k))
+            missed[k] += (~(cut[:, 0] == cut[:, 1]).any(axis=1)).sum()
+    want = np.array([pairs * (1 - lshforest.met(0.8, low + k)) for k in range(lshforest.LEVELS + 1)])
+    assert (np.abs(missed - want) <= 5 * np.sqrt(want) + 3).all(), (missed, want)
+
+
+def test_forest_of_large_components_and_many_partitions(spark, monkeypatch):
+    """Blocks and ranges of a few rows give what SQL gives."""
+    monkeypatch.setattr(lshforest, "BLOCK", 3)
+    monkeypatch.setattr(common, "SLIM_ROWS", 0)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        same(spark, queries.op8_jaccard_join, queries.ORACLE_SQL["op8_jaccard_join"], SF)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_warc_with_version_lines_in_payloads(spark):
