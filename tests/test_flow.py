@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from textveil.functions import regions
-from textveil.operators import pseudonymize, vault
+from textveil.functions import regions, requests
+from textveil.operators import chunks, pseudonymize, vault
 from textveil.operators.catalogue import Catalogue
 from textveil.streaming import holdback
 
@@ -104,3 +104,34 @@ def test_stream_with_state(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert "".join(r.released for r in spark.table("released").orderBy("seq").collect()) == "Von Max an [x]"
+
+
+@pytest.mark.parametrize("most, overlap", [(7, 200), (40, 9), (1, 0)])
+def test_chunks_cover_texts(spark, most, overlap):
+    texts = ["", None, "kurz", "ein  langer\n\nText mit Wörtern\nund Zeilen 😀 " * 6, "x" * 95]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {}
+    for r in chunks.chunk_documents(docs, most, overlap).orderBy("doc_id", "chunk").collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.text))
+    for i, text in enumerate(t or "" for t in texts):
+        cuts = found[i]
+        assert all(text[a : a + len(t)] == t and len(t) <= most for a, t in cuts)
+        assert cuts[0][0] == 0 and cuts[-1][0] + len(cuts[-1][1]) == len(text)
+        for (a, t), (b, _) in zip(cuts, cuts[1:], strict=False):
+            assert a < b <= a + len(t) and a + len(t) - b <= min(overlap, most // 4)
+            half = text[a + most // 2 : a + most]
+            assert not any(s in half for s in ("\n\n", "\n", " ")) or t[-1] in "\n "
+
+
+def test_located(spark):
+    far = "Max " + "." * 200 + " Eva " + "." * 200 + " Eva"
+    rows = [("a Max b", "Max", 2), ("a Max b", "Max", 5), ("a Max b", "", 2), (far, "Max", 390), (far, "Eva", 0), (far, "Eva", 210), ("a", "Max", 0), ("Max", "Max", None), ("Max", "Max", -3)]
+    out = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, s string, h int").select("i", chunks.located(F.col("t"), F.col("s"), F.col("h")).alias("at")).orderBy("i").collect()
+    assert [r.at for r in out] == [2, 2, None, 0, None, 205, None, 0, 0]
+
+
+def test_answers_of_other_shapes():
+    odd = [None, "", "[]", "{", '{"choices": 3}', '{"choices": [null, {"message": []}]}', '{"choices": {"0": "x"}}', '{"choices": [{"message": {"content": 7}}]}']
+    assert [list(requests.answer_nodes(b)) for b in odd] == [[]] * len(odd)
+    body = '{"choices": [{"message": {"content": [{"type": "text", "text": "a"}, 3], "tool_calls": [{"function": {"arguments": "{no"}}]}}]}'
+    assert [t for _, t in requests.answer_nodes(body)] == ["a", "{no"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -148,6 +149,39 @@ def argument_leaves(arguments: Column) -> Column:
     return walk(arguments)
 
 
+#: Where the texts of a chat answer stand, and the serialised arguments of its tool calls.
+ANSWER_TEXT = re.compile(r"choices/\d+/message/(content|refusal)(/\d+/text)?")
+ANSWER_ARGUMENTS = re.compile(r"choices/\d+/message/tool_calls/\d+/function/arguments")
+
+
+def answer_nodes(body: str):
+    """(pointer, text) of each text of a chat answer that can be restored; what has another shape is passed over."""
+    try:
+        strings = [(p, t) for p, t, number in leaves(json.loads(body), escape=True) if not number]
+    except (TypeError, ValueError):
+        return
+    for pointer, text in strings:
+        if ANSWER_TEXT.fullmatch(pointer):
+            yield pointer, text
+        elif ANSWER_ARGUMENTS.fullmatch(pointer):
+            try:
+                inner = [(f"{pointer}/{p}" if p else pointer, t) for p, t, number in leaves(json.loads(text), escape=True) if not number]
+            except ValueError:
+                inner = [(pointer, text)]
+            yield from inner
+
+
+def answer_texts(answers: DataFrame, body: str = "body") -> DataFrame:
+    """pointer and text of each text of the chat answers in ``body``, with the other columns; malformed or null ones have none."""
+    keep = [c for c in answers.columns if c != body]
+
+    @F.pandas_udf("array<struct<pointer:string,text:string>>")
+    def walk(values: pd.Series) -> pd.Series:
+        return values.map(lambda text: [{"pointer": p, "text": t} for p, t in answer_nodes(text)])
+
+    return answers.select(*keep, F.inline(walk(F.col(body))))
+
+
 def written_back(body: Column, pointers: Column, texts: Column) -> Column:
     """``body`` with the texts at the pointers replaced; key order and everything else stay."""
 

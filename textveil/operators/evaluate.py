@@ -2,35 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PAIR = "array<struct<start:int,end:int>>"
+SPAN = "struct<start:int,end:int,label:string>"
+#: Fixed value: the label of predictions that no model label stands behind.
+BY_RULE = "(rule)"
 
 
-def counts(gold: DataFrame, predicted: DataFrame, exact: bool = False) -> DataFrame:
-    """type, tp, fp, fn over all documents.
+def matches(gold: DataFrame, predicted: DataFrame, exact: bool = False) -> DataFrame:
+    """doc_id, type, gold and found (sorted spans, with their labels if there are any), and which of each are matched: hit and used (positions).
 
-    ``gold`` and ``predicted``: doc_id, type, start, end.  Per document and type each gold span in
-    turn takes the unmatched prediction with the largest overlap (the first of equals), or the
-    one with just its bounds.
+    ``gold`` and ``predicted``: doc_id, type, start, end, and a label of predictions if they have one.
+    Per document and type each gold span in turn takes the unmatched prediction with the largest
+    overlap (the first of equals), or the one with just its bounds.
     """
-    side = lambda df, name: df.groupBy("doc_id", "type").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias(name))
+
+    def side(df, name):
+        label = F.col("label") if "label" in df.columns else F.lit(None)
+        one = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), label.cast("string").alias("label"))
+        return df.groupBy("doc_id", "type").agg(F.array_sort(F.collect_list(one)).alias(name))
+
     both = side(gold, "gold").join(side(predicted, "found"), ["doc_id", "type"], "full")
-    none = F.array().cast(PAIR)
-    both = both.select("type", F.coalesce("gold", none).alias("gold"), F.coalesce("found", none).alias("found"))
+    none = F.array().cast(f"array<{SPAN}>")
+    both = both.select("doc_id", "type", F.coalesce("gold", none).alias("gold"), F.coalesce("found", none).alias("found"))
 
-    def step(used, g):
+    def step(state, i):
+        g = F.get("gold", i)
         overlap = lambda p: F.least(g["end"], p["end"]) - F.greatest(g["start"], p["start"])
         fits = lambda p: (p["start"] == g["start"]) & (p["end"] == g["end"]) if exact else overlap(p) > 0
-        open_ = F.filter(F.transform("found", lambda p, i: F.struct(overlap(p).alias("n"), (-i).alias("back"), fits(p).alias("ok"))), lambda x: x["ok"] & ~F.array_contains(used, -x["back"]))
-        best = F.array_max(open_)
-        return F.when(F.size(open_) > 0, F.array_append(used, -best["back"])).otherwise(used)
+        rated = F.transform("found", lambda p, k: F.struct(overlap(p).alias("n"), (-k).alias("back"), fits(p).alias("ok")))
+        open_ = F.filter(rated, lambda x: x["ok"] & ~F.array_contains(state["used"], -x["back"]))
+        taken = F.struct(F.array_append(state["used"], -F.array_max(open_)["back"]).alias("used"), F.array_append(state["hit"], i).alias("hit"))
+        return F.when(F.size(open_) > 0, taken).otherwise(state)
+
+    nothing = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<int>").alias("hit"))
+    return both.withColumn("m", F.aggregate(F.transform("gold", lambda _, i: i), nothing, step)).select("doc_id", "type", "gold", "found", "m.used", "m.hit")
+
 
-    both = both.withColumn("tp", F.size(F.aggregate("gold", F.array().cast("array<int>"), step)))
+def counts(gold: DataFrame, predicted: DataFrame, exact: bool = False) -> DataFrame:
+    """type, tp, fp, fn over all documents."""
+    both = matches(gold, predicted, exact).withColumn("tp", F.size("used"))
     return both.groupBy("type").agg(F.sum("tp").alias("tp"), F.sum(F.size("found") - F.col("tp")).alias("fp"), F.sum(F.size("gold") - F.col("tp")).alias("fn"))
 
 
+def label_counts(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """label, tp, fp, precision of predictions by overlap; gold spans have no label, so there is no recall."""
+    found = matches(gold, predicted).select("used", F.posexplode("found").alias("k", "p"))
+    ok = F.array_contains("used", F.col("k")).cast("bigint")
+    label = F.coalesce(F.nullif(F.col("p.label"), F.lit("")), F.lit(BY_RULE)).alias("label")
+    out = found.groupBy(label).agg(F.sum(ok).alias("tp"), F.sum(1 - ok).alias("fp"))
+    return out.withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp")))
+
+
+def mistakes(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """kind ("fp" or "fn"), doc_id, type, start, end of each span that nothing matches."""
+    both = matches(gold, predicted)
+
+    def left(kind, spans, taken):
+        rows = both.select("doc_id", "type", F.col(taken).alias("taken"), F.posexplode(spans).alias("k", "p")).where(~F.array_contains("taken", F.col("k")))
+        return rows.select(F.lit(kind).alias("kind"), "doc_id", "type", F.col("p.start").alias("start"), F.col("p.end").alias("end"))
+
+    return left("fp", "found", "used").unionByName(left("fn", "gold", "hit"))
+
+
+def first_mistakes(found: DataFrame, limit: int = 15) -> DataFrame:
+    """The first ``limit`` mistakes of each kind by document and place, numbered ``n``, and how many ``more`` there are."""
+    total = found.groupBy("kind").agg(F.count("*").alias("all"))
+    n = F.row_number().over(Window.partitionBy("kind").orderBy("doc_id", "start", "end", "type"))
+    first = found.withColumn("n", n).where(F.col("n") <= limit)
+    return first.join(F.broadcast(total), "kind").withColumn("more", F.greatest(F.col("all") - limit, F.lit(0))).drop("all")
+
+
+def verdicts(scored: DataFrame, bars: DataFrame) -> DataFrame:
+    """type, ok, reason for each of ``bars`` (type, min_recall, min_precision; null: not asked for).
+
+    A type without a bar has no row.  One without gold spans is ok, with the reason that nothing was measured.
+    """
+    both = bars.where("min_recall IS NOT NULL OR min_precision IS NOT NULL").join(scored.select("type", "support", "recall", "precision"), "type", "left")
+    under = [F.when(F.col(m) < F.col(f"min_{m}"), F.format_string(f"{m} %.3f under %.3f", m, F.col(f"min_{m}").cast("double"))) for m in ("recall", "precision")]
+    measured = F.coalesce(F.col("support"), F.lit(0)) > 0
+    why = F.concat_ws(" and ", *under)
+    return both.select("type", (~measured | (why == "")).alias("ok"), F.when(~measured, "nothing measured").when(why == "", "meets bar").otherwise(why).alias("reason"))
+
+
 def scores(counted: DataFrame) -> DataFrame:
     """Adds precision, recall, f1, support; an empty denominator counts as 1, and F1 of nothing as 0."""
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")

@@ -43,6 +43,19 @@ def request_refusals(spark, sf_dir):
     return bodies.select("conv_id", "turn", requests.unscannable(F.col("body")).alias("refused"))
 
 
+@query(
+    "answer_texts",
+    "SELECT conv_id, turn, 'choices/0/message/content' AS pointer, text FROM conversations WHERE text IS NOT NULL"
+    " UNION ALL SELECT conv_id, turn, 'choices/0/message/tool_calls/0/function/arguments/who/0', role FROM conversations WHERE role IS NOT NULL",
+)
+def answer_texts(spark, sf_dir):
+    arguments = F.to_json(F.struct(F.array("role").alias("who"), F.lit(7).alias("n")))
+    call = F.struct(F.lit("c").alias("id"), F.struct(F.lit("f").alias("name"), arguments.alias("arguments")).alias("function"))
+    message = F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content"), F.array(call).alias("tool_calls"))
+    body = F.to_json(F.struct(F.lit("x").alias("id"), F.array(F.struct(F.lit(0).alias("index"), message.alias("message"))).alias("choices")))
+    return requests.answer_texts(_turns(spark, sf_dir).select("conv_id", "turn", body.alias("body")))
+
+
 @query("argument_leaves", "SELECT c_custkey AS id, 'who/name' AS pointer, c_name AS text, false AS was_number FROM customer UNION ALL SELECT c_custkey, 'who/ids/0', c_custkey::VARCHAR, true FROM customer")
 def argument_leaves(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.to_json(F.struct(F.struct(F.col("c_name").alias("name"), F.array("c_custkey").alias("ids"), F.lit(True).alias("ok")).alias("who"))).alias("a"))
@@ -88,6 +101,26 @@ def gold_source(spark, sf_dir):
     return gold.entities(gold.documents(source))
 
 
+@query(
+    "gold_problems",
+    "SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 1 THEN 'offsets' WHEN 2 THEN 'type' WHEN 3 THEN 'overlap' ELSE 'braces' END AS problem, CASE n_nationkey % 4 WHEN 0 THEN NULL WHEN 3 THEN 7 ELSE 6 END::INT AS start FROM nation",
+)
+def gold_problems(spark, sf_dir):
+    n, name = F.col("n_nationkey") % 4, F.col("n_name")
+    entity = lambda start, text, kind: F.struct(F.lit(start).alias("start"), (F.lit(start) + F.char_length(text)).alias("end"), kind.alias("type"), text.alias("text"))
+    first = entity(6, F.when(n == 1, F.upper(F.concat(F.lit("x"), F.substring(name, 2, 99)))).otherwise(name), F.when(n == 2, "NOBODY").otherwise("PERSON"))
+    second = entity(7, F.substring(name, 2, 2), F.lit("PERSON"))
+    text = F.concat(F.lit("Hallo "), name, F.when(n == 0, "}}").otherwise(""))
+    docs = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("id"), text.alias("text"), F.when(n == 3, F.array(first, second)).otherwise(F.array(first)).alias("entities"))
+    return gold.problems(docs, ["PERSON"])
+
+
+@query("gold_type_counts", "SELECT CASE WHEN n_nationkey % 3 > 0 THEN 'T' || n_regionkey END AS type, count(*) AS n FROM nation GROUP BY 1")
+def gold_type_counts(spark, sf_dir):
+    some = F.when(F.col("n_nationkey") % 3 > 0, F.array(F.struct(F.concat(F.lit("T"), F.col("n_regionkey")).alias("type")))).otherwise(F.array().cast("array<struct<type:string>>"))
+    return gold.type_counts(spark.read.parquet(f"{sf_dir}/nation.parquet").select(some.alias("entities")))
+
+
 @query("json_spans", f"SELECT c_custkey AS doc_id, '{{\"start\":0,\"text\":\"' || c_name || '\",\"score\":0.9123}}' AS json FROM customer")
 def json_spans(spark, sf_dir):
     row = F.struct(F.lit(0).alias("start"), F.col("c_name").alias("text"), F.round(F.lit(0.91234), 4).alias("score"))

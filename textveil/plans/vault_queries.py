@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import regions
-from ..operators import evaluate, merge, pseudonymize, vault
+from ..operators import chunks, evaluate, merge, pseudonymize, vault
 from ..operators.catalogue import Catalogue
 from . import synth
 
@@ -288,6 +288,63 @@ def eval_prf(spark, sf_dir):
     return evaluate.scores(evaluate.counts(*_gold(spark, sf_dir)))
 
 
+def _labelled(spark, sf_dir):
+    gold_, found = _gold(spark, sf_dir)
+    return gold_, found.withColumn("label", F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("l"), F.col("doc_id") % 4)))
+
+
+@query(
+    "eval_by_label",
+    "SELECT CASE WHEN l_orderkey % 4 = 0 THEN '(rule)' ELSE 'l' || (l_orderkey % 4) END AS label, count(*) FILTER (l_partkey % 3 < 2) AS tp, count(*) FILTER (l_partkey % 3 = 2) AS fp,"
+    " count(*) FILTER (l_partkey % 3 < 2) / count(*) AS precision FROM lineitem GROUP BY 1",
+)
+def eval_by_label(spark, sf_dir):
+    return evaluate.label_counts(*_labelled(spark, sf_dir))
+
+
+_MISTAKES = "SELECT k AS kind, l_orderkey AS doc_id, 'T' || (l_linenumber % 3) AS type, (l_linenumber * 20 + CASE k WHEN 'fp' THEN 12 ELSE 0 END)::INT AS start FROM lineitem, (SELECT unnest(['fp', 'fn']) AS k) s WHERE l_partkey % 3 = 2"
+
+
+@query("eval_mistakes", f'SELECT *, start + 8 AS "end" FROM ({_MISTAKES}) q')
+def eval_mistakes(spark, sf_dir):
+    return evaluate.mistakes(*_gold(spark, sf_dir))
+
+
+@query(
+    "eval_first_mistakes",
+    f'SELECT kind, doc_id, type, start, start + 8 AS "end", n::INT AS n, greatest(0, c - 15) AS more FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY doc_id, start, type) AS n, count(*) OVER (PARTITION BY kind) AS c FROM ({_MISTAKES}) q) r WHERE n <= 15',
+)
+def eval_first_mistakes(spark, sf_dir):
+    return evaluate.first_mistakes(evaluate.mistakes(*_gold(spark, sf_dir)))
+
+
+@query("eval_verdicts", f"SELECT type, type = 'T0' AS ok, CASE type WHEN 'T0' THEN 'meets bar' ELSE printf('recall %.3f under %.3f', tp / (tp + fn), 0.99) END AS reason FROM ({_COUNTS}) q WHERE type < 'T2' UNION ALL SELECT 'T9', true, 'nothing measured'")
+def eval_verdicts(spark, sf_dir):
+    bars = spark.createDataFrame([("T0", 0.1, 0.1), ("T1", 0.99, None), ("T2", None, None), ("T9", 0.9, 0.9)], "type string, min_recall double, min_precision double")
+    return evaluate.verdicts(evaluate.scores(evaluate.counts(*_gold(spark, sf_dir))), bars)
+
+
+@query("chunk_documents", "SELECT doc_id, length(coalesce(text, ''))::BIGINT AS covered, true AS whole, true AS small FROM documents")
+def chunk_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    cuts = chunks.chunk_documents(docs.withColumn("original", F.col("text")), 512)
+    size = F.char_length("text")
+    cuts = cuts.withColumn("ok", F.substring(F.coalesce("original", F.lit("")), F.col("start") + 1, size) == F.col("text"))
+    cuts = cuts.withColumn("small", (size <= 512) & ((size > 0) | (F.col("start") == 0)))
+    return cuts.groupBy("doc_id").agg(F.max(F.col("start") + size).cast("bigint").alias("covered"), F.bool_and("ok").alias("whole"), F.bool_and("small").alias("small"))
+
+
+@query(
+    "placed_spans",
+    "SELECT c_custkey AS doc_id, length('Sehr geehrte ') AS start, length('Sehr geehrte ') + length(c_name) AS \"end\", c_name AS text, 'PERSON' AS type, 'name' AS label, 0.5::DOUBLE AS score FROM customer",
+)
+def placed_spans(spark, sf_dir):
+    docs = synth.run_sql(spark, sf_dir, "SELECT c_custkey AS doc_id, 'Sehr geehrte ' || c_name || ', guten Tag' AS text, c_name AS surface FROM customer")
+    shared = F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk")
+    found = docs.select("doc_id", shared, "surface").select("doc_id", "chunk", (F.col("chunk") * 9).alias("start"), F.lit("PERSON").alias("type"), F.lit("name").alias("label"), "surface", (F.col("doc_id") % 20).cast("int").alias("at"), F.lit(0.5).alias("score"))
+    return chunks.placed_spans(found, docs.select("doc_id", "text"))
+
+
 @query(
     "threshold_sweep",
     "SELECT 'T' || (l_linenumber % 3) AS type, t AS threshold, count(*) FILTER (ok AND l_partkey % 3 < 2) AS tp, count(*) FILTER (ok AND l_partkey % 3 = 2) AS fp, count(*) FILTER (NOT (ok AND l_partkey % 3 < 2)) AS fn"

@@ -50,3 +50,29 @@ def write_jsonl(docs: DataFrame, path: str) -> None:
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(path)
+
+
+def problems(docs: DataFrame, types: list[str]) -> DataFrame:
+    """id, problem, start of what is wrong in ``docs`` (id, text, entities): braces, offsets, type, overlap.
+
+    ``start`` is the entity's; it is null for braces that are left in a text.
+    """
+    flag = lambda when, name, at: F.when(when, F.struct(F.lit(name).alias("problem"), at.alias("start")))
+    ordered = F.array_sort(F.coalesce("entities", F.array().cast("array<struct<start:int,end:int,type:string,text:string>>")))
+
+    def of(e, i):
+        before = F.array_max(F.transform(F.slice("sorted", F.lit(1), i), lambda x: x["end"]))
+        return F.array(
+            flag(~F.substring("text", e["start"] + 1, e["end"] - e["start"]).eqNullSafe(e["text"]), "offsets", e["start"]),
+            flag(~F.coalesce(e["type"].isin(types), F.lit(False)), "type", e["start"]),
+            flag(before > e["start"], "overlap", e["start"]),
+        )
+
+    docs = docs.select("id", "text", ordered.alias("sorted"))
+    found = F.concat(F.array(flag(F.col("text").rlike(r"\{\{|\}\}"), "braces", F.lit(None).cast("int"))), F.flatten(F.transform("sorted", of)))
+    return docs.select("id", F.inline(F.filter(found, lambda x: x.isNotNull())))
+
+
+def type_counts(docs: DataFrame) -> DataFrame:
+    """type and n of the entities of ``docs``; the row of null type counts documents without any."""
+    return docs.select(F.explode_outer("entities.type").alias("type")).groupBy("type").agg(F.count("*").alias("n"))
