@@ -135,3 +135,22 @@ def test_answers_of_other_shapes():
     assert [list(requests.answer_nodes(b)) for b in odd] == [[]] * len(odd)
     body = '{"choices": [{"message": {"content": [{"type": "text", "text": "a"}, 3], "tool_calls": [{"function": {"arguments": "{no"}}]}}]}'
     assert [t for _, t in requests.answer_nodes(body)] == ["a", "{no"]
+
+
+def test_stream_restored_by_mapping(spark, tmp_path):
+    """Each stream gets its own mapping's values, by joins in each batch; a stream without one stays as it is."""
+    parts = ["Von [[PER", "SON_A1]", "]!"]
+    rows = [(s, 0, i, d, i == 2) for s in ("s", "t", "u") for i, d in enumerate(parts)]
+    spark.createDataFrame(rows, "stream_id string, choice int, seq bigint, delta string, last boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    entries = spark.createDataFrame([("m1", "[[PERSON_A1]]", "Max"), ("m2", "[[PERSON_A1]]", "Eva")], "mapping string, placeholder string, original string")
+    streams = spark.createDataFrame([("s", "m1"), ("t", "m2")], "stream_id string, mapping string")
+    write = lambda df, n: df.select("stream_id", "seq", "restored").write.mode("append").parquet(str(tmp_path / "out"))
+    source = spark.readStream.schema("stream_id string, choice int, seq bigint, delta string, last boolean").parquet(str(tmp_path / "in"))
+    run = holdback.restore_stream(source).writeStream.foreachBatch(holdback.restoring(entries, streams, write)).option("checkpointLocation", str(tmp_path / "c")).start()
+    run.processAllAvailable()
+    run.stop()
+    got = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect():
+        got[r.stream_id] = got.get(r.stream_id, "") + r.restored
+    assert got == {"s": "Von Max!", "t": "Von Eva!", "u": "Von [[PERSON_A1]]!"}
+    assert holdback.feed("", "a [PERS", False, lenient=True) == ("a ", "[PERS") and holdback.feed("", "a [PERS", False) == ("a [PERS", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import requests
+from ..functions import placeholder, requests
 from ..sources import gold
 from ..streaming import holdback
 from . import synth
@@ -81,6 +81,14 @@ def holdback_reassembly(spark, sf_dir):
     return holdback.restore_batch(_deltas(spark, sf_dir))
 
 
+@query("holdback_pieces", "SELECT c_custkey::VARCHAR AS stream_id, 'Von [[PERSON_A1]] an ' || c_name || ' [[EMAIL_B2]].' AS text, 2::BIGINT AS whole, false AS torn FROM customer")
+def holdback_pieces(spark, sf_dir):
+    pieces = holdback.released_batch(_deltas(spark, sf_dir))
+    whole, torn = F.regexp_count("released", F.lit(placeholder.PLACEHOLDER)), F.col("released").rlike(holdback.TAIL)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "released"))), lambda x: x["released"]), "")
+    return pieces.groupBy("stream_id").agg(text.alias("text"), F.sum(whole).alias("whole"), F.bool_or(torn).alias("torn"))
+
+
 @query("toolcall_assembly", "SELECT conv_id::VARCHAR AS stream_id, 0 AS choice, 0 AS call, 'send' AS name, string_agg(text, '' ORDER BY turn) AS arguments FROM conversations GROUP BY 1")
 def toolcall_assembly(spark, sf_dir):
     first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) == 1

@@ -3,54 +3,87 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.placeholder import PLACEHOLDER
+from ..operators.pseudonymize import reverse
 
-#: Fixed value: what may be the beginning of a placeholder at the end of a text.
-TAIL = r"\[(?:\[(?:[A-Z][A-Z0-9_]*\]?)?)?$"
-_TAIL, _WHOLE = re.compile(TAIL), re.compile(PLACEHOLDER)
+#: What may be the beginning of a placeholder at the end of a text, and of one that lost a bracket.
+TAIL, LENIENT_TAIL = r"\[(?:\[(?:[A-Z][A-Z0-9_]*\]?)?)?$", r"\[\[?(?:[A-Z][A-Z0-9_]*\]?)?$"
+_TAIL, _LENIENT, _WHOLE = re.compile(TAIL), re.compile(LENIENT_TAIL), re.compile(PLACEHOLDER)
 MAX_HELD = 96
 OUT, STATE = "stream_id string, choice int, seq bigint, released string", "held string"
 
 
-def feed(held: str, delta: str, last: bool, most: int = MAX_HELD) -> tuple[str, str]:
+def feed(held: str, delta: str, last: bool, most: int = MAX_HELD, lenient: bool = False) -> tuple[str, str]:
     """(released, held): all but a tail that may begin a placeholder; everything at the end or over ``most``."""
     text = held + (delta or "")
-    cut = None if last else _TAIL.search(text)
+    cut = None if last else (_LENIENT if lenient else _TAIL).search(text)
     if cut is None or len(text) - cut.start() > most:
         return text, ""
     return text[: cut.start()], text[cut.start() :]
 
 
-def _stepper(table: dict[str, str] | None):
+def _stepper(table: dict[str, str] | None, lenient: bool):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else ""
-        rows = []
+        held, ended = state.get[0] if state.exists else "", False
+        out = []
         # Only the rows of one stream's choice in one trigger are gathered, to set them in order.
-        for _, r in pd.concat(list(batches)).sort_values("seq").iterrows():
-            out, held = feed(held, r["delta"], bool(r["last"]))
-            if table:
-                out = _WHOLE.sub(lambda m: table.get(m[0], m[0]), out)
-            rows.append((key[0], int(key[1]), int(r["seq"]), out))
-        state.update((held,))
-        yield pd.DataFrame(rows, columns=["stream_id", "choice", "seq", "released"])
+        rows = pd.concat(list(batches)).sort_values("seq")
+        for delta, last in zip(rows["delta"], rows["last"], strict=True):
+            ended = bool(last)
+            piece, held = feed(held, delta, ended, lenient=lenient)
+            out.append(_WHOLE.sub(lambda m: table.get(m[0], m[0]), piece) if table else piece)
+        if not ended:
+            state.update((held,))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"stream_id": key[0], "choice": int(key[1]), "seq": rows["seq"].astype("int64").to_numpy(), "released": out})
 
     return run
 
 
-def restore_stream(deltas: DataFrame, table: dict[str, str] | None = None) -> DataFrame:
+def restore_stream(deltas: DataFrame, table: dict[str, str] | None = None, lenient: bool = False) -> DataFrame:
     """Streaming ``deltas`` (stream_id, choice, seq, delta, last) to released pieces, with what is held as keyed state.
 
-    ``table``: the placeholders of one mapping, a small table.
+    The state of a choice goes with its last piece.  ``table``: the placeholders of one mapping, a
+    small table; without it pieces hold whole placeholders, which ``restoring`` puts back by joins.
+    ``lenient`` also holds back what may begin a placeholder that lost a bracket.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    return deltas.groupBy("stream_id", "choice").applyInPandasWithState(_stepper(table), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return deltas.groupBy("stream_id", "choice").applyInPandasWithState(_stepper(table, lenient), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def restoring(entries: DataFrame, streams: DataFrame, write: Callable[[DataFrame, int], None], lenient: bool = False) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: ``write`` gets the released pieces with ``mapping`` and ``restored``.
+
+    ``streams`` (stream_id, mapping) names each stream's mapping, and only that mapping's
+    ``entries`` are put back; a stream without one, and an unknown placeholder, stay as they are.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        named = batch.join(streams.select("stream_id", "mapping").dropDuplicates(["stream_id"]), "stream_id", "left")
+        write(reverse(named, entries, fuzzy=lenient, text="released"), number)
+
+    return run
+
+
+def released_batch(deltas: DataFrame, lenient: bool = False) -> DataFrame:
+    """The pieces that ``restore_stream`` releases, over a finished table: a choice's last piece releases all."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        held, out, rows = "", [], rows.sort_values("seq")
+        for i, delta in enumerate(rows["delta"]):
+            piece, held = feed(held, delta, i == len(rows) - 1, lenient=lenient)
+            out.append(piece)
+        return pd.DataFrame({"stream_id": key[0], "choice": int(key[1]), "seq": rows["seq"].astype("int64"), "released": out})
+
+    return deltas.groupBy("stream_id", "choice").applyInPandas(run, OUT)
 
 
 def restore_batch(deltas: DataFrame) -> DataFrame:
