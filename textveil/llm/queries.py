@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .compactwindows import repeated_passages
 from .covertree import embedding_near_duplicates
+from .filteraudit import filter_audit
 from .importance import importance_resample
 from .lshforest import jaccard_join
 from .mixing import mix_sources
@@ -91,6 +92,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_toxicity": op2_toxicity,
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_url_filters": op10_url_filters,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -192,4 +198,28 @@ ORACLE_SQL: dict[str, str] = {
           CASE WHEN f.page_id IS NULL THEN 'allow' ELSE 'block' END AS method_verdict
         FROM g LEFT JOIN f ON g.page_id = f.page_id
     """,
+    "op12_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
+        w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w FROM d),
+        y AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+        f AS (
+          SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+            (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 5 * length(x))::INT
+              + 8 * regexp_matches(x, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY x), false)::INT AS m
+          FROM w LEFT JOIN y ON w.doc_id = y.doc_id
+        ), g AS (SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY 1, 2),
+        l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b),
+        o AS (
+          SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM l a JOIN l b ON b.x <> a.x JOIN l c ON c.x NOT IN (a.x, b.x)
+          JOIN l d ON d.x NOT IN (a.x, b.x, c.x) JOIN l e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+        ), s AS (SELECT filter_order, bits, unnest(range(1, 6)) AS step FROM o),
+        t AS (SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM s),
+        r AS (
+          SELECT part, filter_order, step::INT AS step, own, coalesce(sum(n) FILTER (m & (before | own) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (m & before = 0 AND m & own > 0), 0)::BIGINT AS removed,
+            coalesce(sum(n) FILTER (m & before > 0 AND m & own > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (m = own), 0)::BIGINT AS unique_fails,
+            coalesce(sum(good) FILTER (m & before = 0 AND m & own > 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (m & before = 0 AND m & own > 0), 0)::BIGINT AS toxic_lost
+          FROM g JOIN t ON true GROUP BY ALL
+        )
+        SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r
+    """,
 }
