@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .compactwindows import repeated_passages
+from .conversationtrie import conversation_trie
 from .covertree import embedding_near_duplicates
 from .filteraudit import filter_audit
 from .importance import importance_resample
@@ -92,6 +93,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_packing": op9_packing,
     "op10_url_filters": op10_url_filters,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_filter_audit": op12_filter_audit,
 }
 
@@ -198,6 +204,23 @@ ORACLE_SQL: dict[str, str] = {
           CASE WHEN f.page_id IS NULL THEN 'allow' ELSE 'block' END AS method_verdict
         FROM g LEFT JOIN f ON g.page_id = f.page_id
     """,
+    "op11_conversation_trie": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+        k AS (SELECT conv_id, turn, md5(length(r) || ':' || r || x) AS k, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM t),
+        o AS (SELECT conv_id, list({'k': k, 'w': w} ORDER BY turn NULLS FIRST, k) AS own FROM k GROUP BY 1),
+        h AS (
+          SELECT *, conv_id - conv_id % 20 AS base, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+            lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::BIGINT), 4294967295) % 4 AS h FROM o
+        ), b AS (SELECT h.conv_id, list_concat(coalesce(o.own[1:h], []), h.own[h + 1:]) AS s FROM h LEFT JOIN o ON o.conv_id = h.base),
+        q AS (SELECT *, unnest(range(len(s) + 1)) AS depth FROM b),
+        p AS (SELECT conv_id, len(s) = depth AS ends, depth, list_transform(s[1:depth], lambda x: x.k) AS path, CASE WHEN depth > 0 THEN s[depth].w ELSE 0 END AS w FROM q),
+        n AS (SELECT path, depth, any_value(w) AS w, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+        c AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+        f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON n.path = c.path),
+        u AS (SELECT path[1:a] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * w) AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS a FROM f) GROUP BY 1)
+        SELECT f.conv_id, f.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+        FROM f JOIN u ON f.path = u.path LEFT JOIN n up ON f.depth > 0 AND up.path = f.path[1:f.depth - 1]
+    """,
     "op12_filter_audit": r"""
         WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents),
         w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w FROM d),
