@@ -11,6 +11,7 @@ from .compactwindows import repeated_passages
 from .conversationtrie import conversation_trie
 from .covertree import embedding_near_duplicates
 from .filteraudit import filter_audit
+from .fingerprints import fingerprints
 from .importance import importance_resample
 from .lshforest import jaccard_join
 from .mixing import mix_sources
@@ -101,6 +102,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op2_toxicity": op2_toxicity,
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": op10_url_filters,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_filter_audit": op12_filter_audit,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
