@@ -41,10 +41,17 @@ def detect(docs: DataFrame, catalogue: Catalogue, names: list[str] | None = None
 
 def detect_once(docs: DataFrame, catalogue: Catalogue, names: list[str] | None = None, text: str = "text") -> DataFrame:
     """``docs`` with ``candidates``, where equal texts are scanned once: worth its shuffle where texts repeat much."""
-    key = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
-    distinct = docs.select(key.alias("__text_key"), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["__text_key"])
-    spans = vault._held(detect(distinct, catalogue, names).select("__text_key", "candidates"))
-    return docs.withColumn("__text_key", key).join(spans, "__text_key").drop("__text_key")
+    key, name = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256), unused(docs, "__text_key")
+    distinct = docs.select(key.alias(name), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates([name])
+    spans = vault._held(detect(distinct, catalogue, names).select(name, "candidates"))
+    return docs.withColumn(name, key).join(spans, name).drop(name)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 #: Names a row of the texts at hand, as mappings and places may repeat or be null.
@@ -64,12 +71,14 @@ def mentions_of(detected: DataFrame, catalogue: Catalogue) -> DataFrame:
     return rows.withColumn("norm", norm).select(*keep, "start", "end", "type", "surface", "norm")
 
 
-def pseudonymize(docs: DataFrame, catalogue: Catalogue, names: list[str] | None = None, entities: DataFrame | None = None, adopt: bool = False) -> Result:
+def pseudonymize(docs: DataFrame, catalogue: Catalogue, names: list[str] | None = None, entities: DataFrame | None = None, adopt: bool = False, issued: DataFrame | None = None) -> Result:
     """``docs``: mapping, seq (order over all texts), text.
 
     Every row is masked for itself, whatever repeats or is null in mapping and seq; rows of a null
     mapping share one.  ``entities``: what the vault has already; its numbers go on.  Texts that
     hold placeholders are an error, or with ``adopt`` keep them, and no span may overlap one.
+    ``issued``: the entries that the vault has already; with ``adopt`` a text's mapping takes those of
+    its placeholders over, so that it can restore them.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     if not adopt:
@@ -85,6 +94,9 @@ def pseudonymize(docs: DataFrame, catalogue: Catalogue, names: list[str] | None
     known = new if entities is None else entities.select(*new.columns).unionByName(new)
     known = vault._held(known)
     entries = vault.restore_entries(mentions, known, catalogue.irreversible())
+    if adopt and issued is not None:
+        seen = detected.select("mapping", F.explode(placeholder.found(F.col("text"))).alias("placeholder"))
+        entries = entries.unionByName(vault.adopted(seen, known, issued, entries).withColumn("occurrences", F.lit(1).cast("bigint")))
     pieces = mentions.join(known, ["type", "norm"]).groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("placeholder").alias("new")))).alias("pieces"))
     texts = detected.select(ROW, "mapping", "seq", "text").join(pieces, ROW, "left")
     none = F.array().cast("array<struct<start:int,end:int,new:string>>")
@@ -92,29 +104,39 @@ def pseudonymize(docs: DataFrame, catalogue: Catalogue, names: list[str] | None
     return Result(texts.select("mapping", "seq", "pseudonymised", F.size("pieces").alias("n_replaced")), mentions.drop(ROW), known, entries)
 
 
-#: What may be a bent placeholder: brackets, quotes and blanks around, blanks for the underscores, any case; its type and code.
-BENT = r"(?iU)(?<!\w)\[{0,2}\s*[\"']?\s*([A-Z][A-Z0-9]*(?:[_\s]+[A-Z0-9]+)*?)[_\s]*([A-Z]+[0-9]+)\s*[\"']?\s*\]{0,2}(?!\w)"
+def bent(types: list[str]) -> str:
+    """Pattern of what may be a bent placeholder of one of the types, with its type and code as groups.
+
+    Brackets, quotes and blanks may stand around it, blanks or nothing for the underscores, in any case.
+    """
+    names = "|".join(r"[_\s]*".join(x for x in t.split("_") if x) for t in sorted(types, key=lambda t: (-len(t), t)))
+    return rf"(?iU)(?<!\w)\[{{0,2}}\s*[\"']?\s*({names})[_\s]*([A-Z]+[0-9]+)\s*[\"']?\s*\]{{0,2}}(?!\w)"
+
+
+def _squeezed(kind: Column, code: Column) -> Column:
+    return F.concat(F.upper(F.regexp_replace(kind, r"(?U)[_\s]+", "")), F.lit("_"), F.upper(code))
 
 
-def _restored_by(texts: DataFrame, entries: DataFrame, column: str, pattern: str, key: Column) -> DataFrame:
-    """``column`` with the matches of ``pattern`` put back whose ``key`` (of ``found``) the text's mapping has an entry for.
+def _restored_by(texts: DataFrame, entries: DataFrame, column: str, pattern: str, key: Column, row: str) -> DataFrame:
+    """``column`` with the matches of ``pattern`` put back whose ``key`` (of ``found``) is that of an entry of the text's mapping.
 
-    Matches become rows that meet the entries by mapping and placeholder, and go back to their row.
+    Matches become rows that meet the entries (mapping, key, original) by mapping and key, and go back to their row.
     """
     cut_up = F.struct(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(0)).alias("found"), F.split(F.col(column), pattern, -1).alias("gaps"))
-    rows = texts.where(F.col(column).rlike(pattern)).select(ROW, "mapping", F.posexplode(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(0))).alias("i", "found"))
-    rows = rows.withColumn("placeholder", key)
-    own = entries.select(F.col("mapping").alias("__mapping"), "placeholder", "original").dropDuplicates(["__mapping", "placeholder"])
-    hits = rows.join(own, rows["mapping"].eqNullSafe(own["__mapping"]) & (rows["placeholder"] == own["placeholder"])).select(ROW, "i", "original")
-    back = hits.groupBy(ROW).agg(F.map_from_entries(F.collect_list(F.struct("i", "original"))).alias("__back"))
-    out = texts.join(back, ROW, "left")
+    rows = texts.where(F.col(column).rlike(pattern)).select(F.col(row).alias("row"), "mapping", F.posexplode(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(0))).alias("i", "found"))
+    rows = rows.withColumn("key", key)
+    own = entries.select(F.col("mapping").alias("__mapping"), F.col("key").alias("__key"), "original").dropDuplicates(["__mapping", "__key"])
+    hits = rows.join(own, rows["mapping"].eqNullSafe(own["__mapping"]) & (rows["key"] == own["__key"])).select("row", "i", "original")
+    places = unused(texts, "__back")
+    back = hits.groupBy(F.col("row").alias(row)).agg(F.map_from_entries(F.collect_list(F.struct("i", "original"))).alias(places))
+    out = texts.join(back, row, "left")
 
     def build(m: Column) -> Column:
         n = F.size(m["found"])
-        one = lambda i: F.coalesce(F.try_element_at("__back", i), F.get(m["found"], i))
+        one = lambda i: F.coalesce(F.try_element_at(places, i), F.get(m["found"], i))
         return F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(F.get(m["gaps"], i), F.when(i < n, one(i)).otherwise(F.lit("")))), "")
 
-    return out.withColumn(column, F.when(F.col("__back").isNotNull(), let(cut_up, build)).otherwise(F.col(column))).drop("__back")
+    return out.withColumn(column, F.when(F.col(places).isNotNull(), let(cut_up, build)).otherwise(F.col(column))).drop(places)
 
 
 def reverse(texts: DataFrame, entries: DataFrame, fuzzy: bool = False, text: str = "pseudonymised", entities: DataFrame | None = None, strict: bool = False) -> DataFrame:
@@ -124,22 +146,29 @@ def reverse(texts: DataFrame, entries: DataFrame, fuzzy: bool = False, text: str
     reported once each, in order: ``irreversible``, ``foreign`` and ``unknown`` arrays; ``strict``
     then makes a foreign one an error.  Rows stay apart even if all of their columns are equal.
     """
-    out = vault._held(texts.withColumn(ROW, F.monotonically_increasing_id()).withColumn("restored", F.col(text)))
-    out = _restored_by(out, entries, "restored", placeholder.PLACEHOLDER, F.col("found"))
+    row = unused(texts, ROW)
+    out = vault._held(texts.withColumn(row, F.monotonically_increasing_id()).withColumn("restored", F.col(text)))
+    out = _restored_by(out, entries.withColumn("key", F.col("placeholder")), "restored", placeholder.PLACEHOLDER, F.col("found"), row)
     if fuzzy:
-        core = lambda k: F.regexp_extract("found", BENT, k)
-        key = F.concat(F.lit("[["), F.upper(F.regexp_replace(core(1), r"(?U)[_\s]+", "_")), F.lit("_"), F.upper(core(2)), F.lit("]]"))
-        out = _restored_by(out, entries, "restored", BENT, key)
+        parts = [F.regexp_extract("placeholder", placeholder.PLACEHOLDER, k) for k in (1, 2)]
+        squeezed = entries.withColumn("key", _squeezed(*parts))
+        # A catalogue has some dozen types.
+        types = sorted(r[0] for r in entries.select(parts[0]).distinct().collect() if r[0])
+        # A type that ends another one gets a pass of its own: the longer one's match may not be an entry.
+        for some in (types, [t for t in types if any(o.replace("_", "").endswith(t.replace("_", "")) for o in types if o != t)]):
+            if some:
+                pattern = bent(some)
+                out = _restored_by(out, squeezed, "restored", pattern, _squeezed(*[F.regexp_extract("found", pattern, k) for k in (1, 2)]), row)
     if entities is not None:
         out = vault._held(out)
-        left = out.select(ROW, "mapping", F.posexplode(placeholder.found(F.col("restored"))).alias("i", "placeholder"))
+        left = out.select(F.col(row).alias("__row"), "mapping", F.posexplode(placeholder.found(F.col("restored"))).alias("i", "placeholder"))
         judged = vault.outcomes(left, entries, entities).toDF("__mapping", "__placeholder", "outcome")
         same = F.col("mapping").eqNullSafe(F.col("__mapping")) & (F.col("placeholder") == F.col("__placeholder"))
-        seen = left.join(judged, same).groupBy(ROW, "placeholder", "outcome").agg(F.min("i").alias("i"))
+        seen = left.join(judged, same).groupBy("__row", "placeholder", "outcome").agg(F.min("i").alias("i"))
         lists = {k: F.array_sort(F.collect_list(F.when(F.col("outcome") == k, F.struct("i", "placeholder")))) for k in ("irreversible", "foreign", "unknown")}
-        seen = seen.groupBy(ROW).agg(*[F.transform(v, lambda x: x["placeholder"]).alias(k) for k, v in lists.items()])
-        out = out.join(seen, ROW, "left").withColumns({k: F.coalesce(k, F.array().cast("array<string>")) for k in lists})
+        seen = seen.groupBy(F.col("__row").alias(row)).agg(*[F.transform(v, lambda x: x["placeholder"]).alias(k) for k, v in lists.items()])
+        out = out.join(seen, row, "left").withColumns({k: F.coalesce(k, F.array().cast("array<string>")) for k in lists})
         if strict:
             refused = F.raise_error(F.concat(F.lit("placeholders of another mapping: "), F.array_join("foreign", ", "))).cast("string")
             out = out.withColumn("restored", F.when(F.size("foreign") > 0, refused).otherwise(F.col("restored")))
-    return out.drop(ROW)
+    return out.drop(row)

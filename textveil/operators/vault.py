@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -11,10 +12,13 @@ from ..functions import placeholder
 
 
 def _held(df: DataFrame) -> DataFrame:
-    """``df`` computed once, in the folder of ``spark.checkpoint.dir``; a folder of its own where that is unset."""
+    """``df`` computed once, in the folder of ``spark.checkpoint.dir``; in local mode a folder of its own where that is unset."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textveil-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="textveil-"))
     return df.checkpoint(eager=True)
 
 
@@ -116,8 +120,14 @@ def outcomes(mentioned: DataFrame, entries: DataFrame, entities: DataFrame) -> D
     return out.select("mapping", "placeholder", kind.alias("outcome"))
 
 
-def adopted(mentioned: DataFrame, entities: DataFrame, entries: DataFrame) -> DataFrame:
-    """Entries that a mapping takes over for placeholders already in its texts: first spelling ever stored."""
+def adopted(mentioned: DataFrame, entities: DataFrame, entries: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """Entries that a mapping takes over for placeholders already in its texts: first spelling ever stored.
+
+    ``entries`` are all that the vault has; ``own`` those the mappings have by now (by default the same).
+    Placeholders never issued, and irreversible ones, are not taken over.
+    """
     first = entries.groupBy("placeholder").agg(F.min_by("original", "mapping").alias("original"))
-    asked = mentioned.select("mapping", "placeholder").distinct().join(entries.select("mapping", "placeholder"), ["mapping", "placeholder"], "left_anti")
+    have = (entries if own is None else own).select(F.col("mapping").alias("__mapping"), F.col("placeholder").alias("__placeholder")).distinct()
+    asked = mentioned.select("mapping", "placeholder").distinct()
+    asked = asked.join(have, F.col("mapping").eqNullSafe(F.col("__mapping")) & (F.col("placeholder") == F.col("__placeholder")), "left_anti")
     return asked.join(entities.select("placeholder", "type"), "placeholder").join(first, "placeholder").select("mapping", "placeholder", "type", "original")

@@ -150,12 +150,34 @@ def reverse_roundtrip(spark, sf_dir):
     return pseudonymize.reverse(result.texts, result.entries).select("mapping", "seq", "restored")
 
 
-@query("reverse_fuzzy", "SELECT c_custkey AS seq, 'Ja: ' || c_name || ',' || c_name || ' und ' || c_name || '.' AS restored FROM customer")
+#: Bent placeholders among words and what comes back; blanks between a comma or bracket and a placeholder belong to its match.
+_BENT = {
+    "Bitte rufen Sie Person A1 an, dann {n}.": "Bitte rufen Sie {n} an, dann {n}.", "Ich sah PERSON_A1 und [PERSON_A2] heute": "Ich sah {n} und A {n} heute",
+    "hallo person a1! Die [['National ID A3']] gilt": "hallo {n}! Die N{k} gilt", "Zu [ [PERSON_A1 ]], PersonA2 und ID A4 gehört PERSON_B7": "Zu [ {n},A {n} und I{k} gehört PERSON_B7",
+    "Siehe national id a4 oder Personen A1": "Siehe national I{k} oder Personen A1",
+}
+_AS_SQL = lambda text: "'" + text.replace("'", "''").replace("{n}", "' || c_name || '").replace("{k}", "' || c_custkey || '") + "'"
+
+
+@query("reverse_fuzzy", "SELECT c_custkey AS seq, CASE c_custkey % 5 " + " ".join(f"WHEN {i} THEN {_AS_SQL(v)}" for i, v in enumerate(_BENT.values())) + " END AS restored FROM customer")
 def reverse_fuzzy(spark, sf_dir):
-    names = synth.run_sql(spark, sf_dir, "SELECT c_custkey AS seq, CAST(c_custkey AS VARCHAR(20)) AS mapping, c_name AS original FROM customer")
-    entries = names.select("mapping", F.lit("[[PERSON_A1]]").alias("placeholder"), "original")
-    bent = names.select("mapping", "seq", F.lit("Ja: [PERSON_A1], Person A1 und [[\"PERSON_A1\"]].").alias("pseudonymised"))
-    return pseudonymize.reverse(bent, entries, fuzzy=True).select("seq", "restored")
+    texts = [k.replace("'", "\\'").replace("{n}", "' || c_name || '") for k in _BENT]
+    made = "CASE c_custkey % 5 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(texts)) + " END"
+    names = synth.run_sql(spark, sf_dir, f"SELECT c_custkey AS seq, CAST(c_custkey AS VARCHAR(20)) AS mapping, c_name, {made} AS pseudonymised FROM customer")
+    known = {"[[PERSON_A1]]": F.col("c_name"), "[[PERSON_A2]]": F.concat(F.lit("A "), F.col("c_name")), "[[NATIONAL_ID_A3]]": F.concat(F.lit("N"), "seq"), "[[ID_A4]]": F.concat(F.lit("I"), "seq")}
+    entries = names.select("mapping", F.explode(F.array(*[F.struct(F.lit(k).alias("placeholder"), v.alias("original")) for k, v in known.items()])).alias("e")).select("mapping", "e.*")
+    return pseudonymize.reverse(names.select("mapping", "seq", "pseudonymised"), entries, fuzzy=True).select("seq", "restored")
+
+
+@query("reverse_adopted", f"SELECT c_custkey AS seq, 'Wie ' || {synth.EMAIL} || ' schrieb: an [[CARD_ZZ9]], von neu' || c_custkey || '@test.de.' AS restored FROM customer")
+def reverse_adopted(spark, sf_dir):
+    """A later batch whose texts hold placeholders of an earlier one, in mappings of their own."""
+    mentions, entities, entries = _entries(spark, sf_dir)
+    mails = mentions.where("type = 'EMAIL'").join(entities, ["type", "norm"]).select("seq", "placeholder")
+    text = F.concat(F.lit("Wie "), "placeholder", F.lit(" schrieb: an [[CARD_ZZ9]], von neu"), "seq", F.lit("@test.de."))
+    docs = mails.select(F.concat(F.lit("again-"), "seq").alias("mapping"), "seq", text.alias("text"))
+    done = pseudonymize.pseudonymize(docs, RULES, entities=entities, adopt=True, issued=entries)
+    return pseudonymize.reverse(done.texts, done.entries).select("seq", "restored")
 
 
 @query("pseudonymize_documents")
