@@ -1,13 +1,16 @@
 """Whole flows: masking, merging, round trips, streams, and queries against their SQL."""
 
+import json
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from textveil.functions import regions, requests
-from textveil.operators import chunks, pseudonymize, vault
+from textveil.operators import bodies, chunks, protocols, pseudonymize, vault
 from textveil.operators.catalogue import Catalogue
-from textveil.streaming import holdback
+from textveil.streaming import holdback, responses
 
 from .oracle import same
 
@@ -130,11 +133,50 @@ def test_located(spark):
     assert [r.at for r in out] == [2, 2, None, 0, None, 205, None, 0, 0]
 
 
-def test_answers_of_other_shapes():
+def texts_of(spark, protocol, *values):
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, body string")
+    return sorted((r.i, r.pointer, r.text) for r in bodies.text_nodes(rows, protocol).collect())
+
+
+def test_answers_of_other_shapes(spark):
     odd = [None, "", "[]", "{", '{"choices": 3}', '{"choices": [null, {"message": []}]}', '{"choices": {"0": "x"}}', '{"choices": [{"message": {"content": 7}}]}']
-    assert [list(requests.answer_nodes(b)) for b in odd] == [[]] * len(odd)
+    assert texts_of(spark, protocols.chat_answer(), *odd) == [] and texts_of(spark, protocols.responses_answer(), *odd, '{"output": [3, {"type": "message", "content": "x"}]}') == []
     body = '{"choices": [{"message": {"content": [{"type": "text", "text": "a"}, 3], "tool_calls": [{"function": {"arguments": "{no"}}]}}]}'
-    assert [t for _, t in requests.answer_nodes(body)] == ["a", "{no"]
+    assert [t for _, _, t in texts_of(spark, protocols.chat_answer(), body)] == ["a", "{no"]
+
+
+def test_deep_requests_and_keys(spark):
+    deep = '{"a/b": {"c~": ' + "[" * 9 + '"x", 5, true, null, ""' + "]" * 9 + "}}"
+    call = {"messages": [{"role": "assistant", "content": None, "tool_calls": [{"id": "c", "type": "function", "function": {"name": "f", "arguments": deep}}]}, {"role": "user", "content": [{"type": "text", "text": "hi"}]}]}
+    at = "messages/0/tool_calls/0/function/arguments/a~1b/c~0/" + "0/" * 8
+    assert texts_of(spark, protocols.chat_request(), json.dumps(call)) == [(0, at + "0", "x"), (0, at + "1", "5"), (0, "messages/1/content/0/text", "hi")]
+    twice = '{"messages": [], "messages": [{"content": "a"}]}'
+    rows = spark.createDataFrame([(1, json.dumps(call)), (2, twice), (3, None), (4, '{"messages": [{"content": 5}], "x": ["t"]}'), (5, "[]")], "i int, body string")
+    got = {r.i: (r.refused, r.pointers) for r in bodies.refusals(rows, protocols.chat_request()).collect()}
+    assert got == {1: (False, []), 2: (True, [""]), 3: (True, [""]), 4: (True, ["messages/0/content", "x/0"]), 5: (True, [""])}
+    only = bodies.text_nodes(spark.createDataFrame([("[]",), ('{"input": "a"}',)], "body string"), protocols.responses_request())
+    assert [tuple(r) for r in only.collect()] == [("input", "a", False)]
+
+
+def test_images_pass_where_allowed(spark):
+    body = '{"input": [{"role": "user", "content": [{"type": "input_image", "url": "u"}, {"type": "input_text", "text": "t"}]}]}'
+    assert texts_of(spark, protocols.responses_request(), body) == []
+    assert texts_of(spark, protocols.responses_request(allow_images=True), body) == [(0, "input/0/content/1/text", "t")]
+
+
+def test_written_back(spark):
+    args = json.dumps({"a/b": 'say "x"', "n": [1.50, 7], "k": {"~": "t"}})
+    body = json.dumps({"b": [{"arguments": args, "keep": [1, 2.0, None]}], "a": "é"}, ensure_ascii=False)
+    root = "b/0/arguments/"
+    cases = [
+        (body, ["a", root + "a~1b", root + "n/0", root + "n/1", root + "k/~0"], ["ü", 'a "q" \\', "1.5", "[[PHONE_A1]]", "s"]), (None, ["a"], ["x"]), ("{no", ["a"], ["x"]), (body, [], []), (body, None, None), (body, ["c/d", "b/9/x", "a/z"], ["1", "2", "3"]),
+    ]
+    out = [r[0] for r in spark.createDataFrame(cases, "b string, p array<string>, t array<string>").coalesce(1).select(requests.written_back(F.col("b"), F.col("p"), F.col("t"))).collect()]
+    got = json.loads(out[0])
+    assert json.loads(got["b"][0]["arguments"]) == {"a/b": 'a "q" \\', "n": [1.5, "[[PHONE_A1]]"], "k": {"~": "s"}} and got["a"] == "ü" and list(got) == ["b", "a"] and got["b"][0]["keep"] == [1, 2.0, None]
+    assert out[1:3] == [None, "{no"] and out[3] == out[4] == body and json.loads(out[5]) == json.loads(body)
+    with pytest.raises(Exception, match="2 pointers, but 1 texts"):
+        spark.createDataFrame([(body, ["a", "b"], ["x"])], "b string, p array<string>, t array<string>").select(requests.written_back(F.col("b"), F.col("p"), F.col("t"))).collect()
 
 
 def test_stream_restored_by_mapping(spark, tmp_path):
@@ -154,3 +196,79 @@ def test_stream_restored_by_mapping(spark, tmp_path):
         got[r.stream_id] = got.get(r.stream_id, "") + r.restored
     assert got == {"s": "Von Max!", "t": "Von Eva!", "u": "Von [[PERSON_A1]]!"}
     assert holdback.feed("", "a [PERS", False, lenient=True) == ("a ", "[PERS") and holdback.feed("", "a [PERS", False) == ("a [PERS", "")
+
+
+def _events(*events):
+    return [json.dumps(e) if isinstance(e, dict) else e for e in events]
+
+
+TEXT, CALL = {"type": "response.output_text.delta", "item_id": "m", "content_index": 0}, {"type": "response.function_call_arguments.delta", "item_id": "f"}
+STREAM = _events(
+    {"type": "response.created", "sequence_number": 0}, {**TEXT, "sequence_number": 1, "delta": "a [[PER"}, {**TEXT, "sequence_number": 2, "item_id": "o", "delta": "[["}, "not json",
+    {**TEXT, "sequence_number": 3, "delta": "SON_A1]] b [["}, {**CALL, "sequence_number": 4, "delta": '{"x": '}, {**CALL, "delta": "1}", "sequence_number": 5}, {**TEXT, "type": "response.output_text.done", "text": "t", "sequence_number": 6},
+    {**CALL, "type": "response.function_call_arguments.done", "sequence_number": 7}, {**CALL, "item_id": "g", "delta": "[1,", "sequence_number": 8}, {"type": "response.completed", "sequence_number": 9, "response": {}}, "[DONE]",
+)
+#: (type, delta) of what a client gets, in order.
+RELAYED = [
+    ("created", None), ("output_text.delta", "a "), ("output_text.delta", ""), None, ("output_text.delta", "[[PERSON_A1]] b "), ("output_text.delta", "[["), ("output_text.done", None), ("function_call_arguments.delta", '{"x": 1}'),
+    ("function_call_arguments.done", None), ("output_text.delta", "[["), ("function_call_arguments.delta", "[1,"), ("completed", None), None,
+]
+
+
+def _read(rows):
+    out, numbers = [], []
+    for r in sorted(rows, key=lambda r: (r.seq, r.part)):
+        event = json.loads(r.data) if r.data.startswith("{") else None
+        out.append(event and (event["type"].removeprefix("response."), event.get("delta")))
+        numbers += [event["sequence_number"]] if event else []
+    assert numbers == list(range(len(numbers)))
+    return out
+
+
+def test_relayed_events_of_a_table(spark):
+    rows = [(s, i, d) for s in "st" for i, d in enumerate(STREAM)] + [("cut", i, d) for i, d in enumerate(STREAM[:6])]
+    got = {}
+    for r in responses.relayed_batch(spark.createDataFrame(rows, "stream_id string, seq bigint, data string")).collect():
+        got.setdefault(r.stream_id, []).append(r)
+    assert _read(got["s"]) == _read(got["t"]) == RELAYED
+    # A stream that stops gives out what it holds: texts, then the call as far as it came.
+    assert _read(got["cut"]) == [*RELAYED[:5], ("output_text.delta", "[["), ("output_text.delta", "[["), ("function_call_arguments.delta", '{"x": ')]
+
+
+def test_relayed_events_over_triggers_and_timer(spark, tmp_path):
+    """One event a trigger, streams side by side; one stops, and its timer releases what is held."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "stream_id string, seq bigint, data string"
+    steps = [(0, 4), (4, 8), (8, 12)]
+    try:
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+        for k, (a, b) in enumerate(steps):
+            rows = [(s, i, STREAM[i]) for s in ("s", "cut") for i in range(a, min(b, 6) if s == "cut" else b)]
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        write = lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out"))
+        run = responses.relayed_stream(source, idle_ms=3_000).writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+        got = {}
+        for _ in range(60):
+            time.sleep(1)
+            assert run.exception() is None
+            if (tmp_path / "out").exists():
+                rows = spark.read.schema("stream_id string, seq bigint, part int, data string").parquet(str(tmp_path / "out")).collect()
+                got = {s: [r for r in rows if r.stream_id == s] for s in ("s", "cut")}
+                if len(got["s"]) >= len(RELAYED) and len(got["cut"]) >= 8:
+                    break
+        run.stop()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert _read(got["s"]) == RELAYED
+    assert _read(got["cut"]) == [*RELAYED[:5], ("output_text.delta", "[["), ("output_text.delta", "[["), ("function_call_arguments.delta", '{"x": ')]
+
+
+def test_restored_bodies_keep_json_valid(spark):
+    call = json.dumps({"to": "[[PERSON_A1]]", "n": 5})
+    body = {"output": [{"type": "message", "content": [{"type": "output_text", "text": "An [[PERSON_A1]]"}]}, {"type": "function_call", "arguments": call}, {"type": "function_call", "arguments": '{"to": [[PERSON_A1]]'}]}
+    rows = [("m", json.dumps(body)), ("n", json.dumps(body)), ("m", None), ("m", "[[PERSON_A1]]"), ("m", '{"output": []}')]
+    entries = spark.createDataFrame([("m", "[[PERSON_A1]]", 'Max "M" \\')], "mapping string, placeholder string, original string")
+    out = [(r.mapping, r.body) for r in bodies.restored_bodies(spark.createDataFrame(rows, "mapping string, body string"), protocols.responses_answer(), entries).collect()]
+    assert sorted(x for x in out if x[1] is not None and not x[1].startswith('{"output": [{')) == [("m", "[[PERSON_A1]]"), ("m", '{"output": []}')] and ("m", None) in out and ("n", rows[1][1]) in out
+    got = json.loads(next(b for m, b in out if m == "m" and b and "Max" in b))["output"]
+    assert got[0]["content"][0]["text"] == 'An Max "M" \\' and json.loads(got[1]["arguments"]) == {"to": 'Max "M" \\', "n": 5} and got[2]["arguments"] == '{"to": Max "M" \\'

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textveil.functions import finders, normalize, placeholder, requests, validate
+from textveil.operators import bodies, protocols
 
 VALID = {
     "iban_mod97": (["DE89 3704 0044 0532 0130 00"], ["DE90370400440532013000", "DE8937040044053201300", "DE8937040044053201300²", "DE893Ä0400440532013000"]),
@@ -70,10 +71,10 @@ def test_request_texts_and_refusals(spark):
         ([{"role": "user", "content": [{"type": "image_url", "image_url": {"url": "u"}}]}], None),
         ([{"role": "user", "content": "a", "tool_calls": [{"function": {"arguments": "{"}}]}], None),
     ]
-    bodies = [(i, json.dumps({"model": "m", "messages": m}), w) for i, (m, w) in enumerate(cases)] + [(8, '{"input": "Max"}', None), (9, '{"instructions": "Max", "messages": []}', None)]
-    df = spark.createDataFrame([b[:2] for b in bodies], "id int, body string")
-    rows, refused = requests.message_texts(df).collect(), {r.id: r.r for r in df.select("id", requests.unscannable(F.col("body")).alias("r")).collect()}
-    for i, _, want in bodies:
+    asked = [(i, json.dumps({"model": "m", "messages": m}), w) for i, (m, w) in enumerate(cases)] + [(8, '{"input": "Max"}', None), (9, '{"instructions": "Max", "messages": []}', None)]
+    df = spark.createDataFrame([b[:2] for b in asked], "id int, body string")
+    rows, refused = bodies.text_nodes(df, protocols.chat_request()).collect(), {r.id: r.refused for r in bodies.refusals(df, protocols.chat_request()).collect()}
+    for i, _, want in asked:
         assert refused[i] == (want is None) and {r.pointer: r.text for r in rows if r.id == i} == (want or {})
     back = df.where("id = 2").select(requests.written_back(F.col("body"), F.array(F.lit("messages/0/tool_calls/0/function/arguments/to~1x")), F.array(F.lit("X"))).alias("b")).first().b
     assert json.loads(json.loads(back)["messages"][0]["tool_calls"][0]["function"]["arguments"]) == {"to/x": "X", "n": 5}

@@ -1,208 +1,62 @@
-"""Texts in the JSON bodies of chat requests and answers, as rows and back."""
+"""Texts put back into the JSON bodies that they were taken from."""
 
 from __future__ import annotations
 
 import json
-import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fields of a message that are scanned, and those that a message may have.
-TEXT_FIELDS, MESSAGE_FIELDS = ("content", "name", "refusal"), ("role", "content", "name", "refusal", "tool_calls", "tool_call_id")
 
+def _patched(value, patch: dict):
+    """``value`` with the texts of ``patch``, a trie of pointers: its steps, and under None the new text.
 
-#: Top-level fields, and those of a tool call and its function, that are passed on unread.
-PASSED_FIELDS = frozenset(
-    "model tools temperature stream max_tokens max_completion_tokens top_p n stop presence_penalty frequency_penalty logit_bias seed user logprobs top_logprobs "
-    "response_format tool_choice parallel_tool_calls stream_options".split()
-)
-PASSED_CALL_FIELDS, PASSED_FUNCTION_FIELDS = ("id", "type", "index"), ("name",)
-
-
-class Unscannable(ValueError):
-    """A part of a body that nothing scans."""
-
-
-def _refuse_text(value) -> None:
-    if isinstance(value, str) or any(not n for _, _, n in leaves(value)):
-        raise Unscannable
-
-
-def _typed(value, kind: type):
-    if not isinstance(value, kind):
-        raise Unscannable
-    return value
-
-
-def _text_nodes(value, pointer: tuple):
-    """A string, or a list of parts of which each is a text."""
-    if isinstance(value, str):
-        yield pointer, value
-    elif value is not None:
-        for i, part in enumerate(_typed(value, list)):
-            if _typed(part, dict).get("type") != "text":
-                raise Unscannable
-            for k, v in part.items():
-                if k == "text":
-                    yield from _text_nodes(v, (*pointer, str(i), k))
-                elif k != "type":
-                    _refuse_text(v)
-
-
-def _call_nodes(calls, pointer: tuple):
-    for i, call in enumerate(_typed(calls, list)):
-        for k, v in _typed(call, dict).items():
-            if k == "function":
-                for name, x in _typed(v, dict).items():
-                    if name == "arguments":
-                        for p, text, _ in leaves(json.loads(_typed(x, str)), (*pointer, str(i), k, name), escape=True):
-                            yield tuple(p.split("/")), text
-                    elif name not in PASSED_FUNCTION_FIELDS:
-                        _refuse_text(x)
-            elif k not in PASSED_CALL_FIELDS:
-                _refuse_text(v)
-
-
-def request_nodes(body: str):
-    """(pointer, text) of each scanned text of a chat request; ``Unscannable`` or another ValueError at what nothing scans."""
-    for key, value in _typed(json.loads(body), dict).items():
-        if key == "messages":
-            for i, message in enumerate(_typed(value, list)):
-                for k, v in _typed(message, dict).items():
-                    at = (key, str(i), k)
-                    if k in TEXT_FIELDS:
-                        yield from _text_nodes(v, at)
-                    elif k == "tool_calls":
-                        yield from _call_nodes(v, at)
-                    elif k not in MESSAGE_FIELDS:
-                        _refuse_text(v)
-        elif key not in PASSED_FIELDS:
-            _refuse_text(value)
-
-
-def message_texts(requests: DataFrame, body: str = "body") -> DataFrame:
-    """pointer and text of each scanned text of ``body``'s messages, with the other columns of ``requests``.
-
-    Requests that ``unscannable`` refuses have no rows.  Below ``arguments`` a pointer leads into the
-    serialised JSON; "~" and "/" in its keys are written "~0" and "~1".
+    A step that leads nowhere changes nothing.  Serialised JSON is parsed and written once for all that lies below it.
+    A number stays one if its text is the one it had.
     """
-    keep = [c for c in requests.columns if c != body]
-
-    @F.pandas_udf("array<struct<pointer:string,text:string>>")
-    def walk(values: pd.Series) -> pd.Series:
-        def one(text):
-            try:
-                return [{"pointer": "/".join(p), "text": t} for p, t in request_nodes(text) if t != ""]
-            except (TypeError, ValueError):
-                return []
-
-        return values.map(one)
-
-    return requests.select(*keep, F.inline(walk(F.col(body))))
-
-
-def unscannable(body: Column) -> Column:
-    """True where a body has a text that nothing scans, in whatever field, part or shape: such a request is refused."""
-
-    @F.pandas_udf("boolean")
-    def refused(values: pd.Series) -> pd.Series:
-        def one(text):
-            try:
-                return not all(True for _ in request_nodes(text))
-            except (TypeError, ValueError):
-                return True
-
-        return values.map(one)
-
-    return refused(body)
-
-
-def leaves(value, pointer: tuple = (), escape: bool = False):
-    """(pointer, text, was_number) of the strings and numbers in a JSON value; keys and truth values are none."""
+    if None in patch:
+        same = isinstance(value, int | float) and not isinstance(value, bool) and json.dumps(value) == patch[None]
+        return value if same else patch[None]
     if isinstance(value, dict):
-        for k, v in value.items():
-            yield from leaves(v, (*pointer, k.replace("~", "~0").replace("/", "~1") if escape else k), escape)
+        for k in value:
+            if k in patch:
+                value[k] = _patched(value[k], patch[k])
     elif isinstance(value, list):
-        for i, v in enumerate(value):
-            yield from leaves(v, (*pointer, str(i)), escape)
+        for k in patch:
+            if k.isdigit() and int(k) < len(value):
+                value[int(k)] = _patched(value[int(k)], patch[k])
     elif isinstance(value, str):
-        yield "/".join(pointer), value, False
-    elif isinstance(value, int | float) and not isinstance(value, bool):
-        yield "/".join(pointer), json.dumps(value), True
-
-
-def argument_leaves(arguments: Column) -> Column:
-    """Leaves of serialised JSON, whatever its depth; what can't be parsed is one leaf as it stands."""
-
-    @F.pandas_udf("array<struct<pointer:string,text:string,was_number:boolean>>")
-    def walk(values: pd.Series) -> pd.Series:
-        def one(text):
-            try:
-                return [{"pointer": p, "text": t, "was_number": n} for p, t, n in leaves(json.loads(text))]
-            except (TypeError, ValueError):
-                return [{"pointer": "", "text": text or "", "was_number": False}]
-
-        return values.map(one)
-
-    return walk(arguments)
-
-
-#: Where the texts of a chat answer stand, and the serialised arguments of its tool calls.
-ANSWER_TEXT = re.compile(r"choices/\d+/message/(content|refusal)(/\d+/text)?")
-ANSWER_ARGUMENTS = re.compile(r"choices/\d+/message/tool_calls/\d+/function/arguments")
-
-
-def answer_nodes(body: str):
-    """(pointer, text) of each text of a chat answer that can be restored; what has another shape is passed over."""
-    try:
-        strings = [(p, t) for p, t, number in leaves(json.loads(body), escape=True) if not number]
-    except (TypeError, ValueError):
-        return
-    for pointer, text in strings:
-        if ANSWER_TEXT.fullmatch(pointer):
-            yield pointer, text
-        elif ANSWER_ARGUMENTS.fullmatch(pointer):
-            try:
-                inner = [(f"{pointer}/{p}" if p else pointer, t) for p, t, number in leaves(json.loads(text), escape=True) if not number]
-            except ValueError:
-                inner = [(pointer, text)]
-            yield from inner
-
-
-def answer_texts(answers: DataFrame, body: str = "body") -> DataFrame:
-    """pointer and text of each text of the chat answers in ``body``, with the other columns; malformed or null ones have none."""
-    keep = [c for c in answers.columns if c != body]
-
-    @F.pandas_udf("array<struct<pointer:string,text:string>>")
-    def walk(values: pd.Series) -> pd.Series:
-        return values.map(lambda text: [{"pointer": p, "text": t} for p, t in answer_nodes(text)])
-
-    return answers.select(*keep, F.inline(walk(F.col(body))))
+        try:
+            return json.dumps(_patched(json.loads(value), patch), ensure_ascii=False)
+        except ValueError:
+            return value
+    return value
 
 
 def written_back(body: Column, pointers: Column, texts: Column) -> Column:
-    """``body`` with the texts at the pointers replaced; key order and everything else stay."""
+    """``body`` with the texts at the pointers replaced; key order and everything else stay.
 
-    def placed(value, path: list[str], text: str):
-        if not path:
-            return value if json.dumps(value) == text and not isinstance(value, str) else text
-        if isinstance(value, str):
-            # The pointer goes on in serialised JSON.
-            return json.dumps(placed(json.loads(value), path, text), ensure_ascii=False)
-        k = int(path[0]) if isinstance(value, list) else path[0].replace("~1", "/").replace("~0", "~")
-        value[k] = placed(value[k], path[1:], text)
-        return value
+    As many texts as pointers, else it is an error.  A null body stays null, one that is no JSON, or has nothing to replace, as it is.
+    """
 
     @F.pandas_udf("string")
     def put(bodies: pd.Series, where: pd.Series, what: pd.Series) -> pd.Series:
         out = []
         for text, ps, ts in zip(bodies, where, what, strict=True):
-            value = json.loads(text)
+            ps, ts = ([] if x is None else list(x) for x in (ps, ts))
+            if len(ps) != len(ts):
+                raise ValueError(f"{len(ps)} pointers, but {len(ts)} texts")
+            patch: dict = {}
             for p, t in zip(ps, ts, strict=True):
-                value = placed(value, p.split("/"), t)
-            out.append(json.dumps(value, ensure_ascii=False))
-        return pd.Series(out)
+                at = patch
+                for step in p.split("/"):
+                    at = at.setdefault(step.replace("~1", "/").replace("~0", "~"), {})
+                at[None] = t
+            try:
+                out.append(json.dumps(_patched(json.loads(text), patch), ensure_ascii=False) if patch else text)
+            except (TypeError, ValueError):
+                out.append(text)
+        return pd.Series(out, dtype=object)
 
     return put(body, pointers, texts)

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import placeholder, requests
+from ..operators import bodies, protocols
 from ..sources import gold
-from ..streaming import holdback
+from ..streaming import holdback, responses
 from . import synth
 
 QUERIES: dict = {}
@@ -32,15 +33,15 @@ def _turns(spark, sf_dir):
 def request_text_nodes(spark, sf_dir):
     turns = _turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
     body = F.to_json(F.struct(F.lit("m").alias("model"), F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")))
-    return requests.message_texts(turns.select("conv_id", body.alias("body")))
+    return bodies.text_nodes(turns.select("conv_id", body.alias("body")), protocols.chat_request()).drop("was_number")
 
 
 @query("request_refusals", "SELECT conv_id, turn, turn % 3 = 0 AS refused FROM conversations")
 def request_refusals(spark, sf_dir):
     extra = F.when(F.col("turn") % 3 == 0, F.lit("x"))
     message = F.struct("role", F.col("text").alias("content"), extra.alias("audio"))
-    bodies = _turns(spark, sf_dir).select("conv_id", "turn", F.to_json(F.struct(F.array(message).alias("messages"))).alias("body"))
-    return bodies.select("conv_id", "turn", requests.unscannable(F.col("body")).alias("refused"))
+    asked = _turns(spark, sf_dir).select("conv_id", "turn", F.to_json(F.struct(F.array(message).alias("messages"))).alias("body"))
+    return bodies.refusals(asked, protocols.chat_request()).drop("pointers")
 
 
 @query(
@@ -53,13 +54,63 @@ def answer_texts(spark, sf_dir):
     call = F.struct(F.lit("c").alias("id"), F.struct(F.lit("f").alias("name"), arguments.alias("arguments")).alias("function"))
     message = F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content"), F.array(call).alias("tool_calls"))
     body = F.to_json(F.struct(F.lit("x").alias("id"), F.array(F.struct(F.lit(0).alias("index"), message.alias("message"))).alias("choices")))
-    return requests.answer_texts(_turns(spark, sf_dir).select("conv_id", "turn", body.alias("body")))
+    return bodies.text_nodes(_turns(spark, sf_dir).select("conv_id", "turn", body.alias("body")), protocols.chat_answer()).drop("was_number")
+
+
+_PART = "CASE turn % 3 WHEN 0 THEN '/content' WHEN 1 THEN '/content/0/text' ELSE '/action/command/0' END"
+
+
+@query(
+    "responses_text_nodes",
+    f"WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE text <> '')"
+    f" SELECT conv_id, 'input/' || (2 * i) || {_PART} AS pointer, text, false AS was_number FROM t"
+    " UNION ALL SELECT conv_id, 'input/' || (2 * i + 1) || '/arguments/who~1what/0', role, false FROM t UNION ALL SELECT conv_id, 'input/' || (2 * i + 1) || '/arguments/turn', turn::VARCHAR, true FROM t"
+    " UNION ALL SELECT DISTINCT conv_id, 'instructions', 'Gespräch ' || conv_id, false FROM t",
+)
+def responses_text_nodes(spark, sf_dir):
+    # A text as JSON: what to_json writes, without its key and braces.
+    turns = _turns(spark, sf_dir).where("text <> ''").withColumn("s", F.expr("substring(to_json(struct(text AS t)), 6, length(to_json(struct(text AS t))) - 6)"))
+    call = F.to_json(F.struct(F.lit("function_call").alias("type"), F.to_json(F.struct(F.array("role").alias("who/what"), F.col("turn").alias("turn"), F.lit(True).alias("ok"))).alias("arguments")))
+    item = F.when(F.col("turn") % 3 == 0, F.format_string('{"role": "user", "content": %s}', "s")).when(F.col("turn") % 3 == 1, F.format_string('{"type": "message", "content": [{"type": "output_text", "text": %s, "annotations": []}]}', "s"))
+    item = item.otherwise(F.format_string('{"type": "shell_call", "id": "c", "action": {"command": [%s], "timeout": 5}}', "s"))
+    items = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(",", item, call).alias("item")))).alias("m"))
+    body = F.format_string('{"model": "m", "tools": [{"name": "x"}], "instructions": "Gespräch %d", "input": [%s]}', "conv_id", F.array_join("m.item", ","))
+    return bodies.text_nodes(items.select("conv_id", body.alias("body")), protocols.responses_request())
+
+
+#: Items of requests, and for each whether it is refused.
+_ITEMS = {
+    '{"role": "user", "content": "a"}': False, '{"type": "input_image", "url": "u"}': True, '{"role": "user", "content": [{"type": "input_image", "url": "u"}]}': True,
+    '{"type": "message", "content": "a", "odd": {"n": [1, 2]}}': False, '{"type": "message", "content": "a", "odd": {"n": ["x"]}}': True, '{"type": "function_call", "arguments": "{no"}': True,
+    '{"type": "reasoning", "summary": ["x"]}': False, '"bare"': True, '{"type": "custom_tool_call", "input": null}': False,
+}
+
+
+@query("responses_refusals", f"SELECT o_orderkey AS id, {sorted(k for k, v in enumerate(_ITEMS.values()) if v)}.list_contains((o_orderkey % {len(_ITEMS)})::INT) AS refused FROM orders")
+def responses_refusals(spark, sf_dir):
+    item = F.element_at(F.array(*[F.lit(x) for x in _ITEMS]), (F.col("o_orderkey") % len(_ITEMS) + 1).cast("int"))
+    asked = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.concat(F.lit('{"input": ['), item, F.lit("]}")).alias("body"))
+    return bodies.refusals(asked, protocols.responses_request()).drop("pointers")
+
+
+@query(
+    "responses_answer_texts",
+    "SELECT conv_id, turn, 'output/1/content/0/text' AS pointer, text FROM conversations WHERE text <> '' UNION ALL SELECT conv_id, turn, 'output/2/arguments/who/0', role FROM conversations WHERE role <> ''"
+    " UNION ALL SELECT conv_id, turn, 'output/3/arguments', '{\"who\": ' || role FROM conversations WHERE role <> ''",
+)
+def responses_answer_texts(spark, sf_dir):
+    part = F.struct(F.lit("output_text").alias("type"), F.col("text").alias("text"))
+    call = lambda x: F.struct(F.lit("function_call").alias("type"), F.lit(None).cast("array<struct<type:string,text:string>>").alias("content"), x.alias("arguments"))
+    message = F.struct(F.lit("message").alias("type"), F.array(part).alias("content"), F.lit(None).cast("string").alias("arguments"))
+    skipped = F.struct(F.lit("reasoning").alias("type"), F.array(part).alias("content"), F.lit(None).cast("string").alias("arguments"))
+    output = F.array(skipped, message, call(F.to_json(F.struct(F.array("role").alias("who"), F.lit(7).alias("n")))), call(F.concat(F.lit('{"who": '), "role")))
+    return bodies.text_nodes(_turns(spark, sf_dir).select("conv_id", "turn", F.to_json(F.struct(output.alias("output"))).alias("body")), protocols.responses_answer()).drop("was_number")
 
 
 @query("argument_leaves", "SELECT c_custkey AS id, 'who/name' AS pointer, c_name AS text, false AS was_number FROM customer UNION ALL SELECT c_custkey, 'who/ids/0', c_custkey::VARCHAR, true FROM customer")
 def argument_leaves(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.to_json(F.struct(F.struct(F.col("c_name").alias("name"), F.array("c_custkey").alias("ids"), F.lit(True).alias("ok")).alias("who"))).alias("a"))
-    return rows.select(F.col("c_custkey").alias("id"), F.inline(requests.argument_leaves(F.col("a"))))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.to_json(F.struct(F.struct(F.col("c_name").alias("name"), F.array("c_custkey").alias("ids"), F.lit(True).alias("ok")).alias("who"))).alias("arguments"))
+    return bodies.argument_leaves(rows)
 
 
 @query("write_back", "SELECT conv_id, turn, upper(role) AS content FROM conversations")
@@ -133,3 +184,41 @@ def gold_type_counts(spark, sf_dir):
 def json_spans(spark, sf_dir):
     row = F.struct(F.lit(0).alias("start"), F.col("c_name").alias("text"), F.round(F.lit(0.91234), 4).alias("score"))
     return synth.run_sql(spark, sf_dir, "SELECT c_custkey AS doc_id, c_name FROM customer").select("doc_id", F.to_json(row).alias("json"))
+
+
+def _event(kind, **more):
+    fields = [F.lit(f"response.{kind}").alias("type"), F.lit(99).alias("sequence_number"), *[v.alias(k) for k, v in more.items()]]
+    return F.to_json(F.struct(*fields))
+
+
+def _answer_events(spark, sf_dir):
+    """One stream a customer: a text with a placeholder cut in three, a tool call in two fragments, a text that is never closed."""
+    item = {"item_id": F.lit("m"), "content_index": F.lit(0)}
+    whole = F.concat(F.lit("An [[PERSON_A1]], "), F.col("c_name"), F.lit("."))
+    args = F.to_json(F.struct(F.lit("[[PERSON_A1]]").alias("to"), F.col("c_custkey").alias("n")))
+    events = [
+        _event("created"), _event("output_text.delta", delta=F.lit("An [[PER"), **item), _event("output_text.delta", delta=F.lit("SON_A"), **item), _event("output_text.delta", delta=F.concat(F.lit("1]], "), F.col("c_name"), F.lit(".")), **item),
+        _event("output_text.done", text=whole, **item), _event("function_call_arguments.delta", item_id=F.lit("f"), delta=F.substring(args, 1, 9)), _event("function_call_arguments.delta", item_id=F.lit("f"), delta=F.substring(args, 10, 999)),
+        _event("function_call_arguments.done", item_id=F.lit("f")), _event("output_text.delta", delta=F.lit("Ende [["), item_id=F.lit("n")), _event("completed"), F.lit("[DONE]"),
+    ]
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("stream_id"), F.posexplode(F.array(*events)).alias("seq", "data"))
+
+
+_VALUE = "c_name || ' \"x\"'"
+
+
+@query(
+    "responses_stream_events",
+    f"""WITH e(n, type, delta) AS (VALUES (0, 'created', NULL), (1, 'output_text.delta', 'An '), (2, 'output_text.delta', ''), (3, 'output_text.delta', '{{v}}, {{n}}.'), (4, 'output_text.done', NULL),
+        (5, 'function_call_arguments.delta', '{{a}}'), (6, 'function_call_arguments.done', NULL), (7, 'output_text.delta', 'Ende '), (8, 'output_text.delta', '[['), (9, 'completed', NULL), (NULL, NULL, NULL))
+        SELECT c_custkey::VARCHAR AS stream_id, n::BIGINT AS number, 'response.' || type AS type, replace(replace(replace(delta, '{{a}}', '{{"to": ' || to_json({_VALUE}) || ', "n": ' || c_custkey || '}}'), '{{v}}', {_VALUE}), '{{n}}', c_name) AS delta,
+          CASE type WHEN 'output_text.done' THEN 'An ' || {_VALUE} || ', ' || c_name || '.' END AS text FROM customer JOIN e ON true""",
+)
+def responses_stream_events(spark, sf_dir):
+    """Events relayed with gapless numbers and whole placeholders, and restored by each stream's mapping."""
+    events = responses.relayed_batch(_answer_events(spark, sf_dir).withColumn("seq", F.col("seq").cast("bigint"))).withColumnRenamed("stream_id", "mapping")
+    names = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    entries = names.select(F.col("c_custkey").cast("string").alias("mapping"), F.lit("[[PERSON_A1]]").alias("placeholder"), F.concat("c_name", F.lit(' "x"')).alias("original"))
+    back = bodies.restored_bodies(events, protocols.responses_event(), entries, body="data")
+    get = lambda k: F.get_json_object("data", f"$.{k}")
+    return back.select(F.col("mapping").alias("stream_id"), get("sequence_number").cast("bigint").alias("number"), get("type").alias("type"), get("delta").alias("delta"), get("text").alias("text"))
