@@ -132,7 +132,7 @@ def test_passages_in_very_many_documents(spark, monkeypatch):
     passage = " ".join(word() for _ in range(70))
     rows = [(i, " ".join([*(word() for _ in range(rng.randint(1, 60))), passage, *(word() for _ in range(rng.randint(1, 60)))])) for i in range(150)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert len(compactwindows._frequent_keys(docs, 150, 46, "bigint"))
+    assert len(compactwindows._frequent_keys(docs, 150, 46, "bigint", np.zeros(0, np.uint64)))
     spread = {tuple(r) for r in repeated_passages(docs).collect()}
     monkeypatch.setattr(compactwindows, "_frequent_keys", lambda *a: np.zeros(0, np.int64))
     assert spread == {tuple(r) for r in repeated_passages(docs).collect()}
