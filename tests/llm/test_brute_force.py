@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -253,11 +254,12 @@ def test_packing_by_the_tokenizer(spark):
     assert len(by_sequence) <= math.ceil(total / 4096) * 1.02 + 1
 
 
-@pytest.mark.parametrize("times, spread", [(1, "flat"), (1, "short"), (1000, "short")])
+@pytest.mark.parametrize("times, spread", [(1, "flat"), (40, "flat"), (1, "short"), (1000, "short")])
 def test_packing_plan_covers_demand(times, spread):
     rng = np.random.default_rng(4)
-    drawn = rng.integers(1, 4097, 5000) if spread == "flat" else np.minimum(4095, 40 + rng.exponential(800, 5000)).astype(int)
-    histogram = {int(k): int(n) * times for k, n in zip(*np.unique(drawn, return_counts=True), strict=True)} | {4096: 9}
+    drawn = rng.integers(1, 4097, 5000 * times) if spread == "flat" else np.minimum(4095, 40 + rng.exponential(800, 5000)).astype(int)
+    scale = 1 if spread == "flat" else times
+    histogram = {int(k): int(n) * scale for k, n in zip(*np.unique(drawn, return_counts=True), strict=True)} | {4096: 9}
     facts = {}
     made = packing.plan(histogram, facts=facts)
     have = collections.Counter()
@@ -269,8 +271,11 @@ def test_packing_plan_covers_demand(times, spread):
     lowest = math.ceil(sum(k * n for k, n in histogram.items()) / 4096)
     assert facts["sequences"] == sum(n for _, n in made) <= (1.02 if spread == "flat" else 1.002) * lowest + 1
     # Rounded configurations carry the result, whatever the counts, and the LP's value is near the least one.
-    assert facts["placed_by_lp"] >= 0.9 or spread == "flat"
-    assert facts["lp_value"] <= (1.03 if spread == "flat" else 1.002) * lowest
+    assert facts["placed_by_lp"] >= 0.9
+    assert lowest - 1 <= facts["bound"] <= facts["lp_value"] <= (1.02 if (times, spread) == (1, "flat") else 1.001) * facts["bound"]
+    # Never more than the heuristic alone.
+    size, count = (np.array(x, np.int64) for x in zip(*sorted(histogram.items()), strict=True))
+    assert facts["sequences"] <= sum(packing.best_fit_decreasing(size, count).values())
 
 
 def test_best_fit_runs_are_best_fit():
@@ -311,6 +316,18 @@ def test_url_rules_of_any_length(spark):
     assert [out[i].method_verdict for i in (1000, 1001, 1002)] == ["block", "block", "allow"]
 
 
+@pytest.mark.parametrize("k", [11, 20])
+def test_url_rules_of_many_loose_keys(spark, k):
+    """Query keys that nearly all blocked URLs have, each by chance: rules by themselves, whose sets are not mined."""
+    rng = random.Random(k)
+    keys = lambda share: "&".join(f"k{chr(97 + i)}=1" for i in range(k) if rng.random() < share)
+    rows = [(i, f"http://h.net/es/x?{keys(0.97)}") for i in range(1000)] + [(i, f"http://h{i % 9}.com/a/{i % 7}") for i in range(1000, 3000)] + [(i, f"http://q.org/b?{keys(0.3)}") for i in range(3000, 4000)]
+    start = time.time()
+    out = {r.page_id: r for r in urlrules.url_filter(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES).collect()}
+    assert time.time() - start < 60
+    assert all(out[i].method_verdict == ("block" if i < 1000 or "k" in u.split("?")[-1] and "?" in u else "allow") for i, u in rows if i < 3000 or "?k" in u)
+
+
 def test_word_ids_are_the_tokenizers():
     coder = packing.WordIds(queries.tokenizer_path())
     texts = ["Hello, WORLD's it's\t\n x", "", " ", "é\u0301 ﬁ \u00a0ab\x1cc <|endoftext|>d 12 3", "ǅ İ 中文字 a\r\nb"] * 2
