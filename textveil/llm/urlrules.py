@@ -8,6 +8,7 @@ and fires on a URL that has them all.  Nothing here runs outside Spark's own ope
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 
 from .common import cut, pick, sized
 
-BLOCK_ITEM = "label=block"
 
 
 def url_host(url: Column) -> Column:
@@ -80,18 +80,36 @@ def mine_rules(labelled: DataFrame, alike: DataFrame, min_support: float = 0.01,
     """rule_id, tokens, confidence, support: sets of items of ``labelled`` that imply ``block``.
 
     ``labelled``: row, tokens array<string>, blocked boolean; ``alike``: items of the frequent
-    tokens.  Sets of any size are used.  One that holds a rule of one item, or a rule of all its
-    items but one, is dropped: it fires only where that one does.
+    tokens.  Sets of any size are used.  A set that holds a rule fires only where that does, so items
+    that are rules by themselves leave the baskets before sets are mined, and one that holds a rule of
+    all its items but one is dropped.  Sets are mined from blocked rows alone; how many other rows hold
+    them, which decides their confidence, is counted by their inverted index.
     """
-    items = labelled.select("row", F.explode("tokens").alias("token")).join(sized(alike), "token").groupBy("row").agg(F.collect_set("item").alias("items"))
-    baskets = labelled.select("row", "blocked").join(items, "row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    baskets = baskets.select(F.when(F.col("blocked"), F.array_append("items", F.lit(BLOCK_ITEM))).otherwise(F.col("items")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK_ITEM)))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    n = labelled.count()
+    need = max(1, math.ceil(min_support * n))
+    items = labelled.select("row", "blocked", F.explode("tokens").alias("token")).join(sized(alike), "token").select("row", "blocked", "item").distinct()
+    items = cut(items)
+    single = items.groupBy("item").agg(F.count_if("blocked").alias("hit"), F.count("*").alias("n")).where(F.col("hit") >= need)
+    single = cut(single.withColumn("confidence", F.col("hit") / F.col("n")))
+    sure = single.where(F.col("confidence") >= min_confidence)
+    # What is left: items frequent among blocked rows that are no rule by themselves.
+    open_ = items.join(sized(single.where(F.col("confidence") < min_confidence).select("item")), "item")
+    baskets = cut(open_.groupBy("row", "blocked").agg(F.sort_array(F.collect_set("item")).alias("items")))
+    blocked = baskets.where("blocked").select("items")
+    m = blocked.count()
+    rules = sure.select(F.array("item").alias("tokens"), "confidence", (F.col("hit") / F.lit(n)).alias("support"))
+    if m >= need:
+        found = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / m).fit(blocked).freqItemsets.where(F.size("items") > 1)
+        found = cut(found.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("hit")).withColumn("rule_id", F.array_join("tokens", " ")))
+        other = baskets.where(~F.col("blocked")).groupBy("items").agg(F.count("*").alias("times"))
+        index = found.select("rule_id", F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
+        held = other.select("items", "times", F.explode("items").alias("token")).join(index, "token").groupBy("items", "times", "rule_id", "need").agg(F.count("*").alias("have"))
+        missed = held.where(F.col("have") == F.col("need")).groupBy("rule_id").agg(F.sum("times").alias("missed"))
+        found = found.join(missed, "rule_id", "left").withColumn("confidence", F.col("hit") / (F.col("hit") + F.coalesce("missed", F.lit(0))))
+        rules = rules.unionByName(found.where(F.col("confidence") >= min_confidence).select("tokens", "confidence", (F.col("hit") / F.lit(n)).alias("support")))
     rules = cut(rules.withColumn("rule_id", F.array_join("tokens", " ")))
-    subsets = F.when(F.size("tokens") > 1, F.concat(F.transform("tokens", lambda x: F.array(x)), F.transform("tokens", lambda x: F.array_except("tokens", F.array(x)))))
-    held = rules.select("rule_id", F.explode(F.array_distinct(F.transform(subsets, lambda x: F.array_join(x, " ")))).alias("sub"))
+    subsets = F.when(F.size("tokens") > 2, F.transform("tokens", lambda x: F.array_except("tokens", F.array(x))))
+    held = rules.select("rule_id", F.explode(F.transform(subsets, lambda x: F.array_join(x, " "))).alias("sub"))
     wider = held.join(rules.select(F.col("rule_id").alias("sub")), "sub", "left_semi").select("rule_id")
     return rules.join(wider, "rule_id", "left_anti")
 
