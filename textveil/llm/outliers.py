@@ -267,12 +267,12 @@ def quality_rules(
     counts = counts.withColumn("rest", F.sum(F.when(small, F.col("n")).otherwise(0)).over(Window.partitionBy("l")))
     counts = counts.withColumn("g", F.when(~small, F.concat_ws("\u0001", "l", "o")).when(F.col("rest") >= min_group, F.concat_ws("\u0001", "l", F.lit("*"))).otherwise(F.lit("*")))
     groups = cut(counts.select("l", "o", "g"))
-    rows = passed.withColumns(transformed()).join(groups, ["l", "o"])
+    rows = passed.withColumns(transformed()).join(sized(groups), ["l", "o"])
     rows = stored(rows.select("g", *FEATURES), "quality-vectors")
     state = mcd(rows, "g", h_share)
     cutoff = chi2_quantile(1 - alpha, len(FEATURES))
     enough = counts.groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= min_group).select("g")
     params = cut(groups.join(state, "g").join(enough, "g", "left_semi").select("l", "o", "center", "precision"))
-    judged = stats.withColumns(transformed()).join(params, ["l", "o"], "left")
+    judged = stats.withColumns(transformed()).join(sized(params), ["l", "o"], "left")
     judged = judged.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     return judged.select("doc_id", *STATS, "base_failed", "distance", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).alias("kept"))
