@@ -22,34 +22,38 @@ from textveil.llm.queries import MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS, mix_levels,
 #: Share of the tokens that the mixture of the pipeline takes.
 MIX_SHARE = 0.9
 
-KEY = "__row_key"
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of id and text digest, and that column's name, which no other column has."""
+    key = "__row_key"
+    while key in docs.columns:
+        key += "_"
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.withColumn(KEY, F.struct(F.col("doc_id"), F.md5(text).alias("digest")))
+    return docs.withColumn(key, F.struct(F.col("doc_id"), F.md5(text).alias("digest"))), key
 
 
-def _without(keyed: DataFrame, judged: DataFrame) -> DataFrame:
+def _without(keyed: DataFrame, judged: DataFrame, key: str) -> DataFrame:
     """The rows that ``judged`` keeps: what it rejects, the smaller part, is taken out by key."""
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias(KEY)).distinct()
-    return slim_join(keyed, gone, KEY, "left_anti")
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    return slim_join(keyed, gone, key, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    keyed = _keyed(docs)
-    return _without(keyed, quality_rules(keyed, doc_id=KEY)).select(*docs.columns)
+    """Documents that the quality rules keep.
+
+    Null and empty texts have under fifty words and go; repeated rows are judged alike; an empty table stays empty.
+    """
+    keyed, key = _keyed(docs)
+    return _without(keyed, quality_rules(keyed, doc_id=key), key).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id; of rows equal in id and text one."""
-    keyed = _keyed(docs)
-    left = _without(keyed, jaccard_join(keyed, doc_id=KEY))
-    repeated = keyed.groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1").select(KEY)
+    keyed, key = _keyed(docs)
+    left = _without(keyed, jaccard_join(keyed, doc_id=key), key)
+    repeated = keyed.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
     if not repeated.isEmpty():
-        again = slim_join(left, repeated, KEY, "left_semi").dropDuplicates([KEY])
-        left = slim_join(left, repeated, KEY, "left_anti").unionByName(again)
+        again = slim_join(left, repeated, key, "left_semi").dropDuplicates([key])
+        left = slim_join(left, repeated, key, "left_anti").unionByName(again)
     return left.select(*docs.columns)
 
 
@@ -60,12 +64,18 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at the target weights; one that two epochs take is there twice."""
+    """Documents at the target weights; one that two epochs take is there twice.
+
+    Null and empty texts have no token and go; an empty table stays empty.
+    """
     return mix_sources(docs, mix_levels(), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences."""
+    """Token pieces and their places in sequences.
+
+    A null or empty text is a piece of its end id; a document that is there twice has all of its pieces twice.
+    """
     return pack(docs, tokenizer_path())
 
 
