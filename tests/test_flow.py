@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from textveil.functions import regions, requests
+from textveil.functions import cipher, regions, requests
 from textveil.operators import bodies, chunks, protocols, pseudonymize, vault
 from textveil.operators.catalogue import Catalogue
 from textveil.streaming import holdback, responses
@@ -272,3 +272,14 @@ def test_restored_bodies_keep_json_valid(spark):
     assert sorted(x for x in out if x[1] is not None and not x[1].startswith('{"output": [{')) == [("m", "[[PERSON_A1]]"), ("m", '{"output": []}')] and ("m", None) in out and ("n", rows[1][1]) in out
     got = json.loads(next(b for m, b in out if m == "m" and b and "Max" in b))["output"]
     assert got[0]["content"][0]["text"] == 'An Max "M" \\' and json.loads(got[1]["arguments"]) == {"to": 'Max "M" \\', "n": 5} and got[2]["arguments"] == '{"to": Max "M" \\'
+
+
+def test_cipher(spark):
+    rows = spark.createDataFrame([(1, "Max", "a"), (2, "", "a"), (3, None, "a"), (4, "Max", None)], "i int, v string, b string")
+    stored = rows.withColumn("e", cipher.encrypted(F.col("v"), "k", F.col("b"))).checkpoint()
+    out = stored.select("i", "v", "e", cipher.decrypted(F.col("e"), "k", F.col("b")).alias("d"), cipher.decrypted(F.col("e"), "other", F.col("b")).alias("o"), cipher.decrypted(F.col("e"), "k", F.lit("c")).alias("c")).collect()
+    assert all(r.d == r.v and r.o is None and r.c is None for r in out) and len({r.e for r in out}) == 4
+    digest = lambda k, n, s: rows.limit(1).select(cipher.lookup(F.lit(k), F.lit(n), s)).first()[0]
+    assert digest("A", "b", "k") == digest("A", "b", "k") and len({digest("A", "b", "k"), digest("A", "b", "l"), digest("B", "b", "k"), digest("A", "c", "k")}) == 4
+    with pytest.raises(ValueError, match="secret"):
+        cipher.encrypted(F.col("v"), "")

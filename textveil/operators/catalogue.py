@@ -8,6 +8,7 @@ from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import finders, normalize, validate
 
@@ -105,6 +106,11 @@ class Catalogue:
     def labels(self) -> dict[str, str]:
         return {label: k.name for k in self.enabled() for label in k.labels}
 
+    def routed(self, spans: DataFrame, label: str = "label") -> DataFrame:
+        """``spans`` with the ``type`` of their label, by a join with the enabled types' labels (some dozen rows); null for an unknown one."""
+        known = self.frame(spans.sparkSession).where("enabled").select(F.explode("labels").alias("__label"), F.col("name").alias("type"))
+        return spans.join(F.broadcast(known), F.col(label) == F.col("__label"), "left").drop("__label")
+
     def fingerprint(self) -> str:
         return hashlib.sha256(json.dumps([asdict(k) for k in sorted(self.kinds, key=lambda k: k.name)], sort_keys=True).encode()).hexdigest()
 

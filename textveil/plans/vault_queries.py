@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import regions
+from ..functions import cipher, regions
 from ..operators import chunks, evaluate, merge, pseudonymize, vault
 from ..operators.catalogue import Catalogue
 from . import synth
@@ -85,9 +85,9 @@ _MAPPINGS = "SELECT CAST(n_nationkey AS VARCHAR(9)) AS mapping, n_name AS source
 _ASKED = "SELECT mapping, placeholder FROM (SELECT CAST((CAST(mapping AS INT) + CAST(length(original) AS INT) % 2) % 25 AS VARCHAR(9)) AS mapping, placeholder FROM entries UNION ALL SELECT '0', placeholder FROM entities WHERE type = 'CARD' UNION ALL SELECT '1', '[[PERSON_ZZZZ9]]') q"
 
 
-@query("recent_mappings", f"SELECT mapping, source_name, created_at FROM ({_MAPPINGS}) q WHERE source_name ILIKE '%an%' ORDER BY created_at DESC, mapping DESC LIMIT 5")
+@query("recent_mappings", f"SELECT mapping, source_name, created_at FROM ({_MAPPINGS}) q WHERE source_name ILIKE '%ation_1%' ORDER BY created_at DESC, mapping DESC LIMIT 5")
 def recent_mappings(spark, sf_dir):
-    return vault.recent_mappings(synth.run_sql(spark, sf_dir, _MAPPINGS), 5, "an")
+    return vault.recent_mappings(synth.run_sql(spark, sf_dir, _MAPPINGS), 5, "ation_1")
 
 
 @query(
@@ -183,7 +183,7 @@ def reverse_adopted(spark, sf_dir):
 @query("pseudonymize_documents")
 def pseudonymize_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("mapping"), F.col("doc_id").alias("seq"), "text")
-    return pseudonymize.pseudonymize(docs, RULES).texts.where("n_replaced > 0")
+    return pseudonymize.pseudonymize(docs, RULES).texts
 
 
 @query("batch_digest", "SELECT conv_id, sha256(string_agg(text, chr(31) ORDER BY turn)) AS digest FROM conversations GROUP BY 1")
@@ -376,10 +376,33 @@ def threshold_sweep(spark, sf_dir):
     return evaluate.threshold_sweep(*_gold(spark, sf_dir), [0.3, 0.5, 0.7, 0.9])
 
 
-@query("catalogue_labels")
+_LABELS = ["email", "EMAIL", "phone number", "no such label", "iban", "person"]
+
+
+def _routed() -> str:
+    known = Catalogue().labels()
+    return " ".join(f"WHEN {i} THEN {repr(known[x]) if x in known else 'NULL'}" for i, x in enumerate(_LABELS))
+
+
+@query("catalogue_labels", f"SELECT l_orderkey AS doc_id, l_linenumber AS n, CASE (l_orderkey + l_linenumber) % {len(_LABELS)} {_routed()} END AS type FROM lineitem")
 def catalogue_labels(spark, sf_dir):
-    frame = Catalogue().frame(spark).where("enabled")
-    return frame.select("name", F.explode("labels").alias("label"), F.coalesce("threshold", F.lit(0.5)).alias("threshold"))
+    """Spans of a model, one a row, and the types that the catalogue gives their labels; null for unknown ones."""
+    label = F.element_at(F.array(*[F.lit(x) for x in _LABELS]), ((F.col("l_orderkey") + F.col("l_linenumber")) % len(_LABELS) + 1).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), label.alias("label"))
+    return Catalogue().routed(rows).select("doc_id", "n", "type")
+
+
+@query("encrypted_values", f"{_VAULT} SELECT DISTINCT placeholder, original, length(original) > 0 AS hidden, true AS bound FROM entries")
+def encrypted_values(spark, sf_dir):
+    """Entries whose values are stored encrypted, found again by keyed digests of their entities and opened."""
+    mentions, entities, entries = _entries(spark, sf_dir)
+    secret = "of a test"
+    kept = entities.select(cipher.lookup(F.col("type"), F.col("norm"), secret).alias("entity"), "placeholder")
+    values = entries.select("placeholder", F.col("original").alias("plain"), cipher.encrypted(F.col("original"), secret, F.col("placeholder")).alias("stored")).dropDuplicates(["placeholder", "plain"])
+    asked = mentions.where("type <> 'CARD'").select(cipher.lookup(F.col("type"), F.col("norm"), secret).alias("entity")).distinct()
+    found = asked.join(kept, "entity").join(values, "placeholder")
+    opened, other = (cipher.decrypted(F.col("stored"), secret, x) for x in (F.col("placeholder"), F.lit("[[OTHER_A1]]")))
+    return found.select("placeholder", opened.alias("original"), (F.instr("stored", F.col("plain")) == 0).alias("hidden"), other.isNull().alias("bound"))
 
 
 @query("detection_cache_hits", "SELECT source, count(*) AS requests, count(DISTINCT text) AS scanned FROM documents GROUP BY 1")
