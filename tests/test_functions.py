@@ -1,11 +1,12 @@
 """Fixed vectors of the scalar functions; each function runs once over all of its vectors."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from textveil.functions import finders, normalize, placeholder, requests, validate
+from textveil.functions import finders, normalize, phones, placeholder, requests, validate
 from textveil.operators import bodies, protocols
 
 VALID = {
@@ -18,10 +19,11 @@ VALID = {
     "expiry_shape": (["03/28", "03/2028"], ["13/28", "März"]),
     "cvv_shape": (["123", "1234"], ["12", "12a"]),
     "email_syntax": (["max@test.de"], ["Systemmail"]),
-    "phone_shape": (["+49 170 1234567"], ["2024"]),
+    "phone_shape": (["+49 170 1234567", "+49 (0) 151 4433221", "030/1234567"], ["2024", "+49 170 1234567 123456", "+999 1234567", "Tel 12"]),
+    "phone_valid": (["+49 170 1234567", "0170/1234567", "01511 2345678", "0049 30 123456", "+43 664 1234567", "+1 (212) 555-0100", "+39 06 1234567"], ["+49 (0) 151 4433221", "2024", "12.03.2026", "+1 123 4567890", "+33 0612345678", "+210 1234567", "+", ""]),
 }
 KEYS = {
-    "phone": {"+49 170 1234567": "+491701234567", "+49 (0) 170 1234567": "+491701234567", "0170/1234567": "+491701234567", "Aktenzeichen 2024": "2024", "Durchwahl 12": "12"},
+    "phone": {"+49 170 1234567": "+491701234567", "+49 (0) 170 1234567": "+491701234567", "0170/1234567": "+491701234567", "Aktenzeichen 2024": "2024", "Durchwahl 12": "12", "Rechnung 4711": "4711", "0151 4433221": "01514433221", "49 170 1234567": "+491701234567", "keine": "keine"},
     "email": {"Max@Test.DE": "max@test.de", "  max@test.de  ": "max@test.de"},
     "person": {"Dr. Max Mustermann": "max mustermann", "Herrn Dr. Max Mustermann": "max mustermann", "Max  Mustermann": "max mustermann", "Max von Bergen": "max von bergen", "Weiß": "weiss", "Dr. Prof.": "dr. prof."},
     "strip_upper": {"DE89 3704 0044 0532 0130 00": "DE89370400440532013000"},
@@ -37,7 +39,7 @@ FOUND = {
     "card": ("Karte 4111 1111 1111 1111 12/25 und 4111111111111112", ["4111 1111 1111 1111"]),
     "ip": ("von 192.168.0.1 an 2001:db8::1 nicht 999.1.1.1", ["192.168.0.1", "2001:db8::1"]),
     "vat_de": ("USt DE123456789, nicht DE1234567890", ["DE123456789"]),
-    "phone": ("Tel. 0170 1234567, +49 30 123456, am 12.03.2026, RE 2024-00123", ["0170 1234567", "+49 30 123456"]),
+    "phone": ("Tel. 0170 1234567, +49 30 123456, am 12.03.2026, RE 2024-00123, 0151 4433221 ist zu kurz", ["0170 1234567", "+49 30 123456"]),
 }
 
 
@@ -62,6 +64,27 @@ def test_finder(spark, name):
     assert all(text[s.start : s.end] == s.text for s in got)
 
 
+def test_numbering_plan_against_longest_prefix(spark):
+    """Random digits: the pattern agrees with a search of the longest prefix, for plans of countries and of areas."""
+    draw = random.Random(5)
+    starts = sorted(phones.areas())
+    numbers = ["".join(draw.choice("0123456789") for _ in range(draw.randint(1, 16))) for _ in range(2000)]
+    numbers += [draw.choice(starts) + "".join(draw.choice("0123456789") for _ in range(draw.randint(0, 13))) for _ in range(9000)]
+
+    def fits(plan, number):
+        prefix = next((number[:k] for k in range(len(number), 0, -1) if number[:k] in plan), None)
+        return prefix is not None and plan[prefix][0] <= len(number) - len(prefix) <= plan[prefix][1]
+
+    rows = spark.createDataFrame([(n, fits(phones.areas(), n), fits(phones.countries(), n)) for n in numbers], "n string, valid boolean, possible boolean")
+    full = F.concat(F.lit("+"), F.col("n"))
+    assert rows.where(full.rlike(phones.VALID) != F.col("valid")).collect() == [] == rows.where(full.rlike(phones.POSSIBLE) != F.col("possible")).collect()
+    assert rows.where("valid").count() > 1000 and rows.where("possible and not valid").count() > 100
+    at = spark.createDataFrame([("0664 1234567", "AT"), ("(212) 555-0100", "US"), ("1 212 555 0100", "US"), ("06 1234567", "IT"), (None, "DE"), ("x" * 100_000, "DE")], "x string, region string")
+    got = {r.x and r.x[:14]: r for r in at.select("x", *[phones.e164(F.col("x"), k).alias(k) for k in ("DE", "AT", "US", "IT")]).collect()}
+    assert got["0664 1234567"].AT == "+436641234567" and got["(212) 555-0100"].US == got["1 212 555 0100"].US == "+12125550100" and got["06 1234567"].IT == "+39061234567"
+    assert got[None].DE is None and got["x" * 14].DE is None
+
+
 def test_request_texts_and_refusals(spark):
     call = {"id": "c", "type": "function", "function": {"name": "send", "arguments": json.dumps({"to/x": "Max", "n": 5})}}
     cases = [

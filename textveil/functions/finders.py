@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import phones
 from .matching import SPAN, checked_spans, spans
 from .validate import EMAIL, iban_mod97, ip_parse, luhn
 
@@ -73,6 +74,5 @@ def find_vat(text: Column) -> Column:
 
 @register("phone")
 def find_phone(text: Column) -> Column:
-    """By the usual spellings, seven digits at least; dates and file numbers don't fit them."""
-    found = spans(text, PHONE_FIND)
-    return _guarded(text.rlike(r"(?:\+|\b0)\d"), F.filter(found, lambda s: F.char_length(F.regexp_replace(s["text"], r"\D", "")) >= 7))
+    """By the usual spellings and the numbering plan; dates and file numbers don't fit them."""
+    return _guarded(text.rlike(r"(?:\+|\b0)\d"), F.filter(spans(text, PHONE_FIND), lambda s: phones.valid(s["text"])))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import phones
+
 #: Forms of address and titles that are not part of a person's key.
 TITLES = [
     "herr", "herrn", "frau", "hr", "fr", "dr", "prof", "professor", "dipl", "ing", "mag", "med", "rer", "nat", "pol", "phil", "oec", "hc", "ra", "rae", "rechtsanwalt",
@@ -96,17 +98,10 @@ def expiry(x: Column) -> Column:
 
 
 @register("phone")
-def phone(x: Column) -> Column:
-    """German and international numbers as ``+`` and digits if they are long enough, else their digits.
-
-    A library of numbering plans is not at hand; these are its rules for the usual spellings.
-    """
-    bare = F.regexp_replace(F.regexp_replace(x, r"\(0\)", ""), r"[^\d+]", "")
-    full = F.when(bare.startswith("+"), bare).when(bare.startswith("00"), F.concat(F.lit("+"), F.substring(bare, F.lit(3), F.char_length(bare)))).when(
-        bare.startswith("0"), F.concat(F.lit("+49"), F.substring(bare, F.lit(2), F.char_length(bare)))
-    )
-    valid = full.rlike(r"^\+[1-9]\d{7,14}$")
-    return F.when(valid, full).when(bare != "", bare).otherwise(casefold(x))
+def phone(x: Column, region: str = "DE") -> Column:
+    """A number of the numbering plan in full, ``+`` and digits; else its digits and plus signs; else case-folded."""
+    bare = F.regexp_replace(x, r"[^0-9+]", "")
+    return F.coalesce(phones.e164(x, region), F.when(bare != "", bare), casefold(x))
 
 
 @register("person")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import phones
+
 #: Fixed value: the e-mail pattern, without what must not stand beside it.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"
 IPV4 = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}"
@@ -107,6 +109,12 @@ def cvv_shape(x: Column) -> Column:
 
 @register("phone_shape")
 def phone_shape(x: Column) -> Column:
-    """Seven to fifteen digits and nothing but what numbers are spelled with."""
+    """Seven digits at least, nothing but what numbers are spelled with, and a length that the country has; the area may be any."""
     n = F.char_length(F.regexp_replace(x, r"\D", ""))
-    return n.between(7, 15) & F.trim(x).rlike(r"^\+?[\d\s()/.\-]+$")
+    return (n >= 7) & F.trim(x).rlike(r"^\+?[\d\s()/.\-]+$") & phones.possible(x)
+
+
+@register("phone_valid")
+def phone_valid(x: Column) -> Column:
+    """A number of the numbering plan: an area in use, and its length."""
+    return phones.valid(x)

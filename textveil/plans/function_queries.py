@@ -15,6 +15,7 @@ SQL: dict[str, str] = {}
 
 _N = "CAST(c_custkey AS VARCHAR(20))"
 _K9 = synth._KEY
+_MOBILE = f"'+49170' || {synth.LINE}"
 
 
 def _cases(*values: str) -> str:
@@ -23,7 +24,10 @@ def _cases(*values: str) -> str:
 
 #: Name to spellings and the keys they get, in turn by customer number.
 _NORMALIZE = {
-    "phone": [(f"'+49 170 ' || {_K9}", f"'+49170' || {_K9}"), (f"'0170/' || {_K9}", f"'+49170' || {_K9}"), (f"'+49 (0) 170-' || {_K9}", f"'+49170' || {_K9}"), (f"'Aktenzeichen ' || {_N}", _N)],
+    "phone": [
+        (synth.PHONE, _MOBILE), (f"'0170/' || {synth.LINE}", _MOBILE), (f"'+49 (0) 170-' || {synth.LINE}", _MOBILE), (f"'0049170' || {synth.LINE}", _MOBILE), (f"'49170' || {synth.LINE}", _MOBILE),
+        (f"'Aktenzeichen ' || {_N}", _N), (f"'0151 ' || {synth.LINE}", f"'0151' || {synth.LINE}"), (f"'+43 664 ' || {synth.LINE}", f"'+43664' || {synth.LINE}"),
+    ],
     "email": [(f"'  Max.' || {_N} || '@Test.DE '", f"'max.' || {_N} || '@test.de'"), (f"'a b' || {_N} || '@x.io'", f"'ab' || {_N} || '@x.io'")],
     "person": [
         (f"'Dr. Max  Muster' || {_N}", f"'max muster' || {_N}"), (f"'Herrn Prof. Dr. Anna von Berg' || {_N}", f"'anna von berg' || {_N}"),
@@ -49,6 +53,10 @@ _VALIDATE = {
     "cvv_shape": [("'123'", "true"), ("'1234'", "true"), ("'12'", "false"), ("'12a'", "false")],
     "email_syntax": [(synth.EMAIL, "true"), ("'Systemmail'", "false"), (f"'a' || {_N} || '@b'", "false")],
     "phone_shape": [(synth.PHONE, "true"), ("'2024'", "false"), ("'+49 170 1234567'", "true")],
+    "phone_valid": [
+        (synth.PHONE, "true"), (f"'0151 ' || {synth.LINE}", "false"), (f"'0151 1' || {synth.LINE}", "true"), (f"'+1 123 ' || {synth.LINE}", "false"), (f"'+1 212 ' || {synth.LINE}", "true"),
+        (f"'+33 0' || {synth.LINE} || '1'", "false"), (f"'+41 (0) 79 ' || {synth.LINE}", "true"), (f"'+999 ' || {_K9}", "false"),
+    ],
 }
 
 

@@ -32,7 +32,9 @@ _MOD = f"(98 - CAST(CAST({_BBAN} || '131400' AS DECIMAL(38, 0)) % 97 AS INT))"
 IBAN = f"('DE' || lpad(CAST({_MOD} AS VARCHAR(3)), 2, '0') || {_BBAN})"
 CARD = f"({_CARD} || {_luhn(_CARD, 15)})"
 EMAIL = "('kunde' || CAST(c_custkey AS VARCHAR(20)) || '@bank' || CAST(c_nationkey AS VARCHAR(9)) || '.de')"
-PHONE = f"('+49 170 ' || {_KEY})"
+#: The subscriber's digits of a mobile number with prefix 170.
+LINE = "lpad(CAST(c_custkey AS VARCHAR(20)), 7, '0')"
+PHONE = f"('+49 170 ' || {LINE})"
 IP = "('10.' || CAST(c_nationkey AS VARCHAR(9)) || '.' || CAST(c_custkey % 256 AS VARCHAR(9)) || '.' || CAST(c_custkey % 7 AS VARCHAR(9)))"
 VAT = f"('DE' || {_KEY})"
 GROUPED = f"(substr({IBAN}, 1, 4) || ' ' || substr({IBAN}, 5, 4) || ' ' || substr({IBAN}, 9, 4) || ' ' || substr({IBAN}, 13, 4) || ' ' || substr({IBAN}, 17, 4) || ' ' || substr({IBAN}, 21, 2))"

@@ -31,7 +31,7 @@ RULES = Catalogue().overlaid({"PHONE": {"validator": None}})
 _LETTERS = f"SELECT c_custkey AS seq, CAST(c_nationkey AS VARCHAR(9)) AS mapping, {synth.LETTER} AS text FROM customer"
 _KINDS = [(k, v) for _, k, v in synth.PARTS]
 #: Key of each value, as SQL.
-_NORM = {"IBAN": synth.IBAN, "CARD": synth.CARD, "EMAIL": synth.EMAIL, "PHONE": f"'+49170' || {synth._KEY}", "IP": synth.IP, "TAX_ID": synth.VAT}
+_NORM = {"IBAN": synth.IBAN, "CARD": synth.CARD, "EMAIL": synth.EMAIL, "PHONE": f"'+49170' || {synth.LINE}", "IP": synth.IP, "TAX_ID": synth.VAT}
 _MENTIONS = " UNION ALL ".join(
     f"SELECT c_custkey AS seq, CAST(c_nationkey AS VARCHAR(9)) AS mapping, {synth.part_start(i)} AS start, '{k}' AS type, {v} AS surface, {_NORM[k]} AS norm FROM customer" for i, (k, v) in enumerate(_KINDS)
 )
