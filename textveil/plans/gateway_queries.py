@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import placeholder, requests
 from ..operators import bodies, protocols
 from ..sources import gold
-from ..streaming import holdback, responses
+from ..streaming import holdback, responses, sse
 from . import synth
 
 QUERIES: dict = {}
@@ -153,6 +153,20 @@ def sse_events(spark, sf_dir):
     return holdback.sse_events(spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), raw.alias("raw")))
 
 
+_CUT = "SELECT conv_id::VARCHAR AS stream_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, CASE WHEN turn % 2 = 0 THEN role END AS event, coalesce(text, '') AS data FROM conversations"
+
+
+@query("sse_from_bytes", _CUT)
+def sse_from_bytes(spark, sf_dir):
+    """Each conversation as a stream of events, in chunks of 37 bytes that cut characters and line breaks."""
+    event = sse.encoded(F.when(F.col("turn") % 2 == 0, F.col("role")), F.col("text"))
+    turns = _turns(spark, sf_dir).groupBy(F.col("conv_id").cast("string").alias("stream_id")).agg(F.array_sort(F.collect_list(F.struct("turn", event.alias("bytes")))).alias("t"))
+    whole = F.aggregate("t", F.lit(b""), lambda acc, t: F.concat(acc, t["bytes"]))
+    seq = F.posexplode(F.sequence(F.lit(1), F.greatest(F.octet_length("bytes"), F.lit(1)), F.lit(37))).alias("seq", "at")
+    chunks = turns.select("stream_id", whole.alias("bytes")).select("stream_id", "bytes", seq)
+    return sse.events(chunks.select("stream_id", "seq", F.substring(F.col("bytes"), F.col("at"), F.lit(37)).alias("bytes"))).drop("block")
+
+
 @query("gold_source", "SELECT 'd' || n_nationkey AS id, 'k' || n_regionkey AS kind, 'Hallo ' || n_name || ' in Bonn' AS text, 6 AS start, (6 + length(n_name))::INT AS \"end\", 'PERSON' AS type, n_name AS value FROM nation")
 def gold_source(spark, sf_dir):
     part = F.concat(F.lit("### id: d"), F.col("n_nationkey"), F.lit(" | kind: k"), F.col("n_regionkey"), F.lit("\nHallo {{PERSON:"), F.col("n_name"), F.lit("}} in Bonn\n\n"))

@@ -409,8 +409,3 @@ def encrypted_values(spark, sf_dir):
 def detection_cache_hits(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source", F.sha2(F.col("text").cast("binary"), 256).alias("key")).agg(F.count("*").alias("n"))
     return docs.groupBy("source").agg(F.sum("n").alias("requests"), F.count("*").alias("scanned"))
-
-
-@query("latency_percentiles", "SELECT event_type, round(median(value), 6) AS p50, count(*) AS n FROM events GROUP BY 1")
-def latency_percentiles(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("p50"), F.count("*").alias("n"))

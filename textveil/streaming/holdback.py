@@ -102,5 +102,5 @@ def sse_events(raw: DataFrame, text: str = "raw") -> DataFrame:
     """Events of server-sent streams: the columns of ``raw``, pos, event, data; ``data`` lines of an event are joined."""
     blocks = F.filter(F.split(F.regexp_replace(F.col(text), "\r\n", "\n"), "\n\n", -1), lambda b: b != "")
     out = raw.select(*[c for c in raw.columns if c != text], F.posexplode(blocks).alias("pos", "block"))
-    data = F.array_join(F.regexp_extract_all("block", F.lit(r"(?m)^data: ?(.*)$"), F.lit(1)), "\n")
-    return out.withColumns({"event": F.nullif(F.regexp_extract("block", r"(?m)^event: ?(.*)$", 1), F.lit("")), "data": data}).drop("block")
+    data = F.array_join(F.regexp_extract_all("block", F.lit(r"(?md)^data: ?(.*)$"), F.lit(1)), "\n")
+    return out.withColumns({"event": F.nullif(F.regexp_extract("block", r"(?md)^event: ?(.*)$", 1), F.lit("")), "data": data}).drop("block")
