@@ -15,7 +15,7 @@ SPANS = "array<struct<start:int,end:int,text:string,type:string,score:double,sou
 #: Characters trimmed from the edges of model spans, and shortest lengths.
 LEADING, TRAILING = " \t\r\n(<[{\"'„»‚‹*_", " \t\r\n.,;:!?)>]}\"'“«‘›*_"
 MIN_SWEEP, MIN_REST = 3, 3
-PRIORITY = {"gliner": 3, "regex": 2, "coref": 1}
+PRIORITY = {"model": 3, "regex": 2, "coref": 1}
 
 
 def span(start: Column, end: Column, text: Column, kind: Column, score: Column, source: Column, label: Column) -> Column:
@@ -56,7 +56,7 @@ def unvetoed(candidates: Column, validators: dict[str, str]) -> Column:
         out = F.lit(True)
         for kind, name in sorted(validators.items()):
             out = F.when(s["type"] == kind, validate.get(name)(s["text"])).otherwise(out)
-        return (s["source"] != "gliner") | F.coalesce(out, F.lit(False))
+        return (s["source"] != "model") | F.coalesce(out, F.lit(False))
 
     return F.filter(candidates, fine)
 
@@ -158,4 +158,4 @@ def rule_spans(text: Column, finders: dict[str, Column]) -> Column:
 def named_spans(text: Column, names: list[str], kind: str = "PERSON", score: float = 0.95) -> Column:
     """A model stand-in: occurrences of listed names in any case, between word bounds."""
     pattern = r"(?iU)\b(?:" + "|".join(rf"\Q{n}\E" for n in sorted(names, key=len, reverse=True)) + r")\b"
-    return F.transform(spans(text, pattern), lambda s: span(s["start"], s["end"], s["text"], F.lit(kind), F.lit(score), F.lit("gliner"), F.lit("person")))
+    return F.transform(spans(text, pattern), lambda s: span(s["start"], s["end"], s["text"], F.lit(kind), F.lit(score), F.lit("model"), F.lit("person")))

@@ -23,10 +23,11 @@ class Result:
     entries: DataFrame
 
 
-def detect(docs: DataFrame, catalogue: Catalogue, names: list[str] | None = None, text: str = "text", scan_code: bool = False) -> DataFrame:
+def detect(docs: DataFrame, catalogue: Catalogue, names: list[str] | None = None, text: str = "text", scan_code: bool = False, proposed: str | None = None) -> DataFrame:
     """``docs`` with regions, view and accepted ``candidates``; a null text counts as empty.
 
-    Every row is scanned; ``detect_once`` scans equal texts once.
+    Every row is scanned; ``detect_once`` scans equal texts once.  ``proposed`` names a column of spans
+    that models or lists found in the text (``detectors.with_proposals``).
     """
     value = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("regions", F.array().cast(regions.REGIONS) if scan_code else regions.protected_regions(value))
@@ -35,6 +36,8 @@ def detect(docs: DataFrame, catalogue: Catalogue, names: list[str] | None = None
     found = merge.rule_spans(F.col("view"), rules)
     if names:
         found = F.concat(found, merge.named_spans(F.col("view"), names))
+    if proposed:
+        found = F.concat(found, F.coalesce(F.col(proposed), F.array().cast(merge.SPANS)))
     out = out.withColumn("candidates", found)
     return merge.resolved(out.withColumn("text", value), catalogue.thresholds(), catalogue.validators(), catalogue.sweeps(), catalogue.blanket)
 
@@ -71,7 +74,7 @@ def mentions_of(detected: DataFrame, catalogue: Catalogue) -> DataFrame:
     return rows.withColumn("norm", norm).select(*keep, "start", "end", "type", "surface", "norm")
 
 
-def pseudonymize(docs: DataFrame, catalogue: Catalogue, names: list[str] | None = None, entities: DataFrame | None = None, adopt: bool = False, issued: DataFrame | None = None) -> Result:
+def pseudonymize(docs: DataFrame, catalogue: Catalogue, names: list[str] | None = None, entities: DataFrame | None = None, adopt: bool = False, issued: DataFrame | None = None, proposed: str | None = None) -> Result:
     """``docs``: mapping, seq (order over all texts), text.
 
     Every row is masked for itself, whatever repeats or is null in mapping and seq; rows of a null
@@ -84,7 +87,8 @@ def pseudonymize(docs: DataFrame, catalogue: Catalogue, names: list[str] | None
     if not adopt:
         taken = F.when(placeholder.contains(F.col("text")), F.raise_error(F.lit("a text is pseudonymised already")).cast("string"))
         text = F.coalesce(taken, text)
-    found = detect(docs.select("mapping", "seq", text.alias("text")), catalogue, names)
+    more = [F.col(proposed).alias("__proposed")] if proposed else []
+    found = detect(docs.select("mapping", "seq", text.alias("text"), *more), catalogue, names, proposed="__proposed" if proposed else None)
     if adopt:
         known = spans(F.col("text"), placeholder.PLACEHOLDER)
         found = found.withColumn("__issued", known).withColumn("candidates", merge.apart_from(F.col("candidates"), F.col("__issued")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cipher, regions
-from ..operators import chunks, evaluate, merge, pseudonymize, vault
+from ..operators import chunks, detectors, evaluate, merge, pseudonymize, vault
 from ..operators.catalogue import Catalogue
 from . import synth
 
@@ -230,7 +230,7 @@ _CANDIDATES = "SELECT l_orderkey AS doc_id, (l_linenumber * 10 + l_partkey % 7)
 
 
 def _candidates(spark, sf_dir):
-    one = merge.span(F.col("s"), F.col("e"), F.lit("x"), F.lit("PERSON"), F.col("score"), F.lit("gliner"), F.lit(None))
+    one = merge.span(F.col("s"), F.col("e"), F.lit("x"), F.lit("PERSON"), F.col("score"), F.lit("model"), F.lit(None))
     return synth.run_sql(spark, sf_dir, _CANDIDATES).groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("c"))
 
 
@@ -256,7 +256,7 @@ def merge_greedy_overlap(spark, sf_dir):
 @query("edge_trim", "SELECT c_custkey AS doc_id, 2 AS start, (2 + length(c_name))::INT AS \"end\", c_name AS text FROM customer")
 def edge_trim(spark, sf_dir):
     docs = synth.run_sql(spark, sf_dir, "SELECT c_custkey AS doc_id, '(\"' || c_name || '\"), ' AS doc FROM customer")
-    one = merge.span(F.lit(0), F.char_length("doc"), F.col("doc"), F.lit("PERSON"), F.lit(0.9), F.lit("gliner"), F.lit(None))
+    one = merge.span(F.lit(0), F.char_length("doc"), F.col("doc"), F.lit("PERSON"), F.lit(0.9), F.lit("model"), F.lit(None))
     return docs.select("doc_id", F.inline(merge.trimmed(F.array(one), F.col("doc")))).select("doc_id", "start", "end", "text")
 
 
@@ -264,22 +264,22 @@ def edge_trim(spark, sf_dir):
 def merge_exact_trim(spark, sf_dir):
     docs = synth.run_sql(spark, sf_dir, f"SELECT c_custkey AS doc_id, 'Kunde ' || c_name || ' an' || {synth.EMAIL} || '!!' AS doc, {synth.EMAIL} AS mail, c_name FROM customer")
     begin = F.char_length("c_name") + 9
-    model = merge.span(F.lit(0), F.char_length("doc"), F.col("doc"), F.lit("PERSON"), F.lit(0.9), F.lit("gliner"), F.lit(None))
+    model = merge.span(F.lit(0), F.char_length("doc"), F.col("doc"), F.lit("PERSON"), F.lit(0.9), F.lit("model"), F.lit(None))
     rule = merge.span(begin, begin + F.char_length("mail"), F.col("mail"), F.lit("EMAIL"), F.lit(1.0), F.lit("regex"), F.lit(None))
-    return docs.select("doc_id", F.inline(merge.cut_to_exact(F.array(model, rule), F.col("doc")))).where("source = 'gliner'").select("doc_id", "start", "end", "text")
+    return docs.select("doc_id", F.inline(merge.cut_to_exact(F.array(model, rule), F.col("doc")))).where("source = 'model'").select("doc_id", "start", "end", "text")
 
 
 @query("validator_veto", f"SELECT c_custkey AS doc_id FROM customer WHERE c_custkey % 2 = 0 OR {synth._MOD} = 97")
 def validator_veto(spark, sf_dir):
     docs = synth.run_sql(spark, sf_dir, f"SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN {synth.IBAN} ELSE 'DE00' || substr({synth.IBAN}, 5) END AS doc FROM customer")
-    one = merge.span(F.lit(0), F.char_length("doc"), F.col("doc"), F.lit("IBAN"), F.lit(0.9), F.lit("gliner"), F.lit(None))
+    one = merge.span(F.lit(0), F.char_length("doc"), F.col("doc"), F.lit("IBAN"), F.lit(0.9), F.lit("model"), F.lit(None))
     return docs.select("doc_id", F.inline(merge.unvetoed(F.array(one), {"IBAN": "iban_mod97"}))).select("doc_id")
 
 
 @query("coref_sweep", "SELECT c_custkey AS doc_id, 3::BIGINT AS n FROM customer")
 def coref_sweep(spark, sf_dir):
     docs = synth.run_sql(spark, sf_dir, "SELECT c_custkey AS doc_id, c_name || ' rief an. ' || c_name || '! Nicht X' || c_name || 'Y, aber ' || c_name || '.' AS text, c_name FROM customer")
-    docs = docs.withColumn("view", F.col("text")).withColumn("candidates", F.array(merge.span(F.lit(0), F.char_length("c_name"), F.col("c_name"), F.lit("PERSON"), F.lit(0.9), F.lit("gliner"), F.lit(None))))
+    docs = docs.withColumn("view", F.col("text")).withColumn("candidates", F.array(merge.span(F.lit(0), F.char_length("c_name"), F.col("c_name"), F.lit("PERSON"), F.lit(0.9), F.lit("model"), F.lit(None))))
     return merge.swept(docs, {"PERSON": "word"}).select("doc_id", F.size("candidates").cast("bigint").alias("n"))
 
 
@@ -409,3 +409,26 @@ def encrypted_values(spark, sf_dir):
 def detection_cache_hits(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source", F.sha2(F.col("text").cast("binary"), 256).alias("key")).agg(F.count("*").alias("n"))
     return docs.groupBy("source").agg(F.sum("n").alias("requests"), F.count("*").alias("scanned"))
+
+
+_W = r"[\p{L}\p{N}_]"
+_NAME = "[A-Za-z]+ [a-z]+"
+
+
+@query(
+    "listed_names_in_documents",
+    f"""
+    WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '{_W}+') AS w, string_split_regex(text, '{_W}+') AS g FROM documents),
+    u AS (SELECT doc_id, text, unnest(w) AS word, unnest(g[1:len(w)]) AS gap, unnest(range(len(w))) AS i FROM m),
+    p AS (SELECT doc_id, text, word, sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) - length(word) AS start FROM u),
+    n AS (SELECT DISTINCT lower(regexp_extract(text, '{_NAME}')) AS low FROM documents WHERE regexp_extract(text, '{_NAME}') <> ''),
+    h AS (SELECT doc_id, start, length(low) AS size, substr(text, start::BIGINT + 1, length(low)) AS surface FROM p JOIN n ON lower(word) = regexp_extract(low, '^{_W}+')
+          WHERE lower(substr(text, start::BIGINT + 1, length(low))) = low AND NOT regexp_matches(substr(text, (start + length(low))::BIGINT + 1, 1), '{_W}'))
+    SELECT doc_id, start::INT AS start, (start + size)::INT AS "end", surface FROM (SELECT *, max(size) OVER (PARTITION BY doc_id, start) AS most FROM h) q WHERE size = most
+    """,
+)
+def listed_names_in_documents(spark, sf_dir):
+    """Each text's first two words together as a list of names, found in all texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    names = docs.select(F.regexp_extract("text", _NAME, 0).alias("name"), F.lit("PERSON").alias("type"))
+    return detectors.listed_spans(docs, names).select("doc_id", "start", "end", F.col("text").alias("surface"))
