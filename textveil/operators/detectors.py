@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import chunks, merge
@@ -22,14 +22,16 @@ Model = Callable[[list[str]], list[list[tuple[str, str, int | None, float]]]]
 def listed_spans(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", score: float = 0.95) -> DataFrame:
     """key, start, end, text, type, score: at each word of ``docs`` (key, text) the longest of ``names`` (name, type) that begins there.
 
-    Case is no matter; a name stands between word bounds.  Each word meets the names by their first word, an inverted
-    index, so the text is read once whatever their number; a row holds as many characters as the longest name has.
+    Case is no matter; a name stands between word bounds.  Each word meets the names by their first word, or first two
+    where they have more, an inverted index, so the text is read once whatever their number; a row holds as many
+    characters as the longest name has.
     Null and empty names, and those that begin with no word character, are nowhere.  A name of two types proposes
     both; overlaps stay, for merging has to see them all.
     """
     listed = names.select(F.trim("name").alias("name"), "type").where(F.col("name").rlike(r"(?U)^\w")).distinct()
     listed = listed.select(F.lower("name").alias("low"), F.char_length("name").alias("size"), "type").distinct()
-    listed = listed.withColumn("first", F.regexp_extract("low", r"(?U)^\w+", 0))
+    words_of = F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0))
+    listed = listed.withColumn("first", F.array_join(F.slice(words_of, 1, 2), "\n"))
     n, longest, volume = listed.agg(F.count("*"), F.max("size"), F.sum(F.octet_length("low"))).first()
     most = longest or 0
 
@@ -39,20 +41,22 @@ def listed_spans(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: s
                 at = [m.span() for m in _WORD.finditer(value)]
                 # Some thousand words at a time: a long text's heads are many times its size.
                 for i in range(0, len(at), 20_000):
-                    some = at[i : i + 20_000]
-                    yield pd.DataFrame({"key": [one] * len(some), "start": [s for s, _ in some], "word": [value[s:e] for s, e in some], "head": [value[s : s + most + 1] for s, _ in some]})
+                    some, after = at[i : i + 20_000], [*at[i + 1 : i + 20_001], (0, 0)]
+                    two = [value[s:e] + "\n" + value[n:m] for (s, e), (n, m) in zip(some, after, strict=False)]
+                    yield pd.DataFrame({"key": [one] * len(some), "start": [s for s, _ in some], "two": two, "head": [value[s : s + most + 1] for s, _ in some]})
 
     kind = docs.schema[key].dataType.simpleString()
-    cut = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(words, f"key {kind}, start int, word string, head string")
+    cut = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(words, f"key {kind}, start int, two string, head string")
+    low = F.lower("two")
+    cut = cut.select("key", "start", "head", F.explode(F.array(low, F.substring_index(low, "\n", 1))).alias("words"))
     small = n <= SMALL_LIST and (volume or 0) <= SMALL_BYTES
-    met = cut.join(F.broadcast(listed) if small else listed, F.lower("word") == F.col("first"))
+    met = cut.join(F.broadcast(listed) if small else listed, F.col("words") == F.col("first"))
     found = F.substring(F.col("head"), F.lit(1), F.col("size"))
     whole = ~F.substring(F.col("head"), F.col("size") + 1, F.lit(1)).rlike(r"(?U)^\w")
     fits = met.where((F.lower(found) == F.col("low")) & whole).select("key", "start", "size", "type", found.alias("text"))
-    best = fits.groupBy("key", "start", "type").agg(F.max(F.struct("size", "text")).alias("b"))
-    longest_here = best.groupBy("key", "start").agg(F.max("b.size").alias("size"), F.collect_list(F.struct("type", "b")).alias("of"))
-    kept = longest_here.select("key", "start", "size", F.explode("of").alias("o")).where(F.col("o.b.size") == F.col("size"))
-    return kept.select(F.col("key").alias(key), "start", (F.col("start") + F.col("size")).alias("end"), F.col("o.b.text").alias("text"), F.col("o.type").alias("type"), F.lit(score).alias("score"))
+    # Names differ, so a place has one of each size and type.
+    kept = fits.withColumn("most", F.max("size").over(Window.partitionBy("key", "start"))).where(F.col("size") == F.col("most"))
+    return kept.select(F.col("key").alias(key), "start", (F.col("start") + F.col("size")).alias("end"), "text", "type", F.lit(score).alias("score"))
 
 
 def model_spans(docs: DataFrame, make: Callable[[], Model], catalogue: Catalogue, most: int = 1000, batch: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
