@@ -60,3 +60,37 @@ def written_back(body: Column, pointers: Column, texts: Column) -> Column:
         return pd.Series(out, dtype=object)
 
     return put(body, pointers, texts)
+
+
+#: What a model is told about placeholders.
+HINT = "Tokens such as [[PERSON_A1]] stand for private values. Keep every one of them as it is, with its brackets."
+
+
+def with_hint(body: Column, place: str, wrapped: str | None = None, hint: str = HINT) -> Column:
+    """``body`` with a system message of ``hint`` before the list at ``place``, its own entry; all else stays.
+
+    With ``wrapped``, the ``type`` of an entry, a bare string at ``place`` becomes the second entry and a null the empty list.
+    Bodies that are null, no JSON object, or without a list there stay as they are.
+    """
+    kind = {"type": wrapped} if wrapped else {}
+    first = {**kind, "role": "system", "content": hint}
+
+    @F.pandas_udf("string")
+    def put(bodies: pd.Series) -> pd.Series:
+        out = []
+        for text in bodies:
+            try:
+                value = json.loads(text)
+            except (TypeError, ValueError):
+                value = None
+            if isinstance(value, dict) and place in value:
+                rest = value[place]
+                if wrapped and (rest is None or isinstance(rest, str)):
+                    rest = [{**kind, "role": "user", "content": rest}] if rest is not None else []
+                if isinstance(rest, list):
+                    value[place] = [first, *rest]
+                    text = json.dumps(value, ensure_ascii=False)
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    return put(body)

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.requests import written_back
+from ..functions.requests import with_hint, written_back
 from .pseudonymize import reverse, unused
 from .vault import _held
 
@@ -215,3 +215,12 @@ def restored_bodies(answers: DataFrame, protocol: Protocol, entries: DataFrame,
     # Bodies without a patch don't go to Python.
     done = out.where("__at is not null").withColumn(body, written_back(F.col(f"`{body}`"), F.col("__at"), F.col("__new"))).unionByName(out.where("__at is null"))
     return done.select(*[F.col(f"`{c}`") for c in answers.columns])
+
+
+def hinted(requests: DataFrame, place: str, wrapped: str | None = None, replaced: str = "n_replaced", body: str = "body") -> DataFrame:
+    """``requests`` with the hint on placeholders in bodies where something was ``replaced``; the others don't go to Python.
+
+    ``place`` is ``messages`` for the chat protocol, and ``input`` with entries of type ``message`` for the responses protocol.
+    """
+    some = F.coalesce(F.col(f"`{replaced}`") > 0, F.lit(False))
+    return requests.where(some).withColumn(body, with_hint(F.col(f"`{body}`"), place, wrapped)).unionByName(requests.where(~some))

@@ -112,7 +112,8 @@ class Catalogue:
         return spans.join(F.broadcast(known), F.col(label) == F.col("__label"), "left").drop("__label")
 
     def fingerprint(self) -> str:
-        return hashlib.sha256(json.dumps([asdict(k) for k in sorted(self.kinds, key=lambda k: k.name)], sort_keys=True).encode()).hexdigest()
+        """A digest of the enabled types; any change to one of them, or to which are enabled, changes it."""
+        return hashlib.sha256(json.dumps([asdict(k) for k in sorted(self.enabled(), key=lambda k: k.name)], sort_keys=True).encode()).hexdigest()
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """name, labels, normalizer, validator, backstop, sweep, threshold, reversible, enabled of each type."""

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 SPAN = "struct<start:int,end:int,label:string>"
 #: Fixed value: the label of predictions that no model label stands behind.
 BY_RULE = "(rule)"
+#: The quality that a configuration must reach to be chosen for its speed.
+MIN_RECALL, MIN_PRECISION = 0.90, 0.85
 
 
 def matches(gold: DataFrame, predicted: DataFrame, exact: bool = False) -> DataFrame:
@@ -86,6 +88,32 @@ def verdicts(scored: DataFrame, bars: DataFrame) -> DataFrame:
     return both.select("type", (~measured | (why == "")).alias("ok"), F.when(~measured, "nothing measured").when(why == "", "meets bar").otherwise(why).alias("reason"))
 
 
+def gated(measured: DataFrame, min_recall: float = MIN_RECALL, min_precision: float = MIN_PRECISION) -> DataFrame:
+    """``measured`` (p50, recall, precision, error or none; a row per configuration) with ``status`` and ``best``.
+
+    ``status`` is ``error``, ``ok`` or ``below``: quality that isn't measured is below, one at the bar is ok.
+    ``best`` is true for the least p50 of those that are ok, all of them if they tie; a null p50 is never the best.
+    """
+    failed = F.col("error").isNotNull() if "error" in measured.columns else F.lit(False)
+    fine = F.coalesce((F.col("recall") >= min_recall) & (F.col("precision") >= min_precision), F.lit(False))
+    out = measured.withColumn("status", F.when(failed, "error").when(fine, "ok").otherwise("below"))
+    least = out.where("status = 'ok' and not isnan(p50)").agg(F.min("p50").alias("__least"))
+    # The other side is one row.
+    met = out.crossJoin(F.broadcast(least))
+    return met.withColumn("best", F.coalesce((F.col("status") == "ok") & (F.col("p50") == F.col("__least")), F.lit(False))).drop("__least")
+
+
+def report(scored: DataFrame) -> DataFrame:
+    """at, line: a Markdown table of ``scored`` (type, tp, fp, fn, precision, recall, f1), most false positives first, then by type."""
+    figure = lambda c: F.format_string("%.3f", F.col(c).cast("double"))
+    cells = F.concat_ws(" | ", F.coalesce("type", F.lit("")), *[F.col(c).cast("string") for c in ("tp", "fp", "fn")], *[figure(c) for c in ("precision", "recall", "f1")])
+    # A row per type: some dozen.
+    n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("fp"), "type"))
+    head = ["| type | tp | fp | fn | precision | recall | f1 |", "|---|---|---|---|---|---|---|"]
+    top = scored.sparkSession.createDataFrame(list(enumerate(head)), "at int, line string")
+    return top.unionByName(scored.select((n + 1).alias("at"), F.concat(F.lit("| "), cells, F.lit(" |")).alias("line")))
+
+
 def scores(counted: DataFrame) -> DataFrame:
     """Adds precision, recall, f1, support; an empty denominator counts as 1, and F1 of nothing as 0."""
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")

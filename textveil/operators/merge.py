@@ -61,6 +61,19 @@ def unvetoed(candidates: Column, validators: dict[str, str]) -> Column:
     return F.filter(candidates, fine)
 
 
+def checked(candidates: Column, doc: Column, types: list[str]) -> Column:
+    """Candidates as they are; one of a type that isn't listed, or that isn't where it says, is an error."""
+
+    def one(s: Column) -> Column:
+        at = F.concat(F.lit(" at "), s["start"].cast("string"))
+        unknown = F.raise_error(F.concat(F.lit("unknown type "), F.coalesce(s["type"], F.lit("null")), at))
+        misplaced = F.raise_error(F.concat(F.lit("a span isn't in its text"), at))
+        here = (s["start"] >= 0) & (s["end"] > s["start"]) & (F.substring(doc, s["start"] + 1, s["end"] - s["start"]) == s["text"])
+        return F.when(~F.coalesce(s["type"].isin(types), F.lit(False)), unknown.cast("boolean")).when(~F.coalesce(here, F.lit(False)), misplaced.cast("boolean")).otherwise(True)
+
+    return F.filter(candidates, one)
+
+
 def unprotected(candidates: Column, protected: Column) -> Column:
     return F.filter(candidates, lambda s: ~regions.touches(protected, s["start"], s["end"]))
 
@@ -145,8 +158,16 @@ def swept(docs: DataFrame, modes: dict[str, str]) -> DataFrame:
 
 
 def resolved(docs: DataFrame, thresholds: dict[str, float], validators: dict[str, str], modes: dict[str, str], blanket: float = 0.5) -> DataFrame:
-    """Merge, sweep, and merge again what the sweep added."""
-    return merged(swept(merged(docs, thresholds, validators, blanket), modes), thresholds, validators, blanket)
+    """Merge, sweep, and merge again what the sweep added.
+
+    A merge of what was merged changes nothing, so where the sweep added nothing the second one gets no spans to work on.
+    """
+    first = merged(docs, thresholds, validators, blanket).withColumn("__first", F.col("candidates"))
+    added = F.size("candidates") > F.size("__first")
+    out = swept(first, modes)
+    out = out.withColumn("__added", added).withColumn("candidates", F.when(F.col("__added"), F.col("candidates")).otherwise(F.array().cast(SPANS)))
+    out = merged(out, thresholds, validators, blanket)
+    return out.withColumn("candidates", F.when(F.col("__added"), F.col("candidates")).otherwise(F.col("__first"))).drop("__first", "__added")
 
 
 def rule_spans(text: Column, finders: dict[str, Column]) -> Column:

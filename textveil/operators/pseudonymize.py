@@ -23,23 +23,42 @@ class Result:
     entries: DataFrame
 
 
-def detect(docs: DataFrame, catalogue: Catalogue, names: list[str] | None = None, text: str = "text", scan_code: bool = False, proposed: str | None = None) -> DataFrame:
-    """``docs`` with regions, view and accepted ``candidates``; a null text counts as empty.
+def scan(docs: DataFrame, catalogue: Catalogue, names: list[str] | None = None, text: str = "text", scan_code: bool = False, proposed: str | None = None) -> DataFrame:
+    """``docs`` with ``text`` (a null one is empty), regions, view and all ``candidates``, before any of them is judged.
 
-    Every row is scanned; ``detect_once`` scans equal texts once.  ``proposed`` names a column of spans
-    that models or lists found in the text (``detectors.with_proposals``).
+    ``proposed`` names a column of spans that models or lists found in the text (``detectors.with_proposals``); one that
+    isn't where it says, or of a type that the catalogue doesn't know, is an error.
     """
-    value = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("regions", F.array().cast(regions.REGIONS) if scan_code else regions.protected_regions(value))
-    out = out.withColumn("view", value if scan_code else regions.masked(value, F.col("regions")))
+    out = seen(docs, text, scan_code)
     rules = {t.name: finders.get(t.backstop)(F.col("view")) for t in catalogue.enabled() if t.backstop}
     found = merge.rule_spans(F.col("view"), rules)
     if names:
         found = F.concat(found, merge.named_spans(F.col("view"), names))
     if proposed:
-        found = F.concat(found, F.coalesce(F.col(proposed), F.array().cast(merge.SPANS)))
-    out = out.withColumn("candidates", found)
-    return merge.resolved(out.withColumn("text", value), catalogue.thresholds(), catalogue.validators(), catalogue.sweeps(), catalogue.blanket)
+        given = F.coalesce(F.col(proposed), F.array().cast(merge.SPANS))
+        found = F.concat(found, merge.checked(given, F.col("text"), [t.name for t in catalogue.kinds]))
+    return out.withColumn("candidates", found)
+
+
+def seen(docs: DataFrame, text: str = "text", scan_code: bool = False) -> DataFrame:
+    """``docs`` with text, its protected regions, and the view in which they are masked."""
+    value = F.coalesce(F.col(text), F.lit(""))
+    out = docs.withColumn("regions", F.array().cast(regions.REGIONS) if scan_code else regions.protected_regions(value))
+    return out.withColumn("view", value if scan_code else regions.masked(value, F.col("regions"))).withColumn("text", value)
+
+
+def resolve(scanned: DataFrame, catalogue: Catalogue, text: str = "text") -> DataFrame:
+    """``scanned`` (text, candidates) with the accepted candidates: the cheap half, to be done again with other thresholds."""
+    out = scanned if {"regions", "view"} <= set(scanned.columns) else seen(scanned, text)
+    return merge.resolved(out, catalogue.thresholds(), catalogue.validators(), catalogue.sweeps(), catalogue.blanket)
+
+
+def detect(docs: DataFrame, catalogue: Catalogue, names: list[str] | None = None, text: str = "text", scan_code: bool = False, proposed: str | None = None) -> DataFrame:
+    """``docs`` with regions, view and accepted ``candidates``; a null text counts as empty.
+
+    Every row is scanned; ``detect_once`` scans equal texts once, and ``known.looked_up`` those that no run has met.
+    """
+    return resolve(scan(docs, catalogue, names, text, scan_code, proposed), catalogue)
 
 
 def detect_once(docs: DataFrame, catalogue: Catalogue, names: list[str] | None = None, text: str = "text") -> DataFrame:

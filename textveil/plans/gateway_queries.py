@@ -36,6 +36,20 @@ def request_text_nodes(spark, sf_dir):
     return bodies.text_nodes(turns.select("conv_id", body.alias("body")), protocols.chat_request()).drop("was_number")
 
 
+@query(
+    "placeholder_hints",
+    "SELECT conv_id, count(*) + CASE WHEN max(turn) > 2 THEN 1 ELSE 0 END AS n, CASE WHEN max(turn) > 2 THEN 'system' ELSE arg_min(role, turn) END AS first_role,"
+    " arg_max(text, turn) AS last_text, max(turn) > 2 AS told FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL GROUP BY 1",
+)
+def placeholder_hints(spark, sf_dir):
+    """Requests of conversations, where those of over three turns count as having placeholders."""
+    turns = _turns(spark, sf_dir).where("text is not null and role is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"), F.max("turn").alias("last"))
+    body = F.to_json(F.struct(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")))
+    out = bodies.hinted(turns.select("conv_id", body.alias("body"), F.when(F.col("last") > 2, F.col("last")).alias("n_replaced")), "messages")
+    out = out.withColumn("m", F.from_json(F.get_json_object("body", "$.messages"), "array<struct<role:string,content:string>>"))
+    return out.select("conv_id", F.size("m").cast("bigint").alias("n"), F.get("m.role", F.lit(0)).alias("first_role"), F.element_at("m.content", -1).alias("last_text"), (F.get("m.content", F.lit(0)) == requests.HINT).alias("told"))
+
+
 @query("request_refusals", "SELECT conv_id, turn, turn % 3 = 0 AS refused FROM conversations")
 def request_refusals(spark, sf_dir):
     extra = F.when(F.col("turn") % 3 == 0, F.lit("x"))

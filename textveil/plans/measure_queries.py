@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import running
+from ..operators import evaluate, running
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -58,3 +58,22 @@ def requests_so_far(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "ts")
     sums = {"requests": F.lit(1).cast("bigint"), "errors": F.when(F.col("event_type") == "error", 1).otherwise(0)}
     return running.running(events, [], ["ts", "event_id"], sums).select("event_id", "requests", "errors")
+
+
+@query(
+    "speed_and_quality",
+    """
+    WITH c AS (SELECT event_type || strftime(ts, '%d') AS configuration, median(value) FILTER (value IS NOT NULL AND NOT isnan(value)) AS p50,
+        sum(CASE WHEN event_id % 12 < 11 THEN 1 ELSE 0 END) / count(*) AS recall, sum(CASE WHEN event_id % 8 < 7 THEN 1 ELSE 0 END) / count(*) AS precision FROM events GROUP BY 1),
+    s AS (SELECT configuration, round(p50, 6) AS p50, CASE WHEN recall >= 0.9 AND precision >= 0.85 THEN 'ok' ELSE 'below' END AS status FROM c)
+    SELECT *, coalesce(status = 'ok' AND p50 = (SELECT min(p50) FROM s WHERE status = 'ok'), false) AS best FROM s
+    """,
+)
+def speed_and_quality(spark, sf_dir):
+    """Each event type and day as a configuration: its median, its shares of found and fine rows, and which is the fastest that is good enough."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    named = events.select(F.concat("event_type", F.date_format("ts", "dd")).alias("configuration"), "value", (F.col("event_id") % 12 < 11).cast("int").alias("found"), (F.col("event_id") % 8 < 7).cast("int").alias("fine"))
+    medians = running.order_statistics(named, ["configuration"], "value").select(F.col("configuration").alias("__c"), F.round("median", 6).alias("p50"))
+    shares = named.groupBy("configuration").agg((F.sum("found") / F.count("*")).alias("recall"), (F.sum("fine") / F.count("*")).alias("precision"))
+    both = shares.join(medians, F.col("configuration").eqNullSafe(F.col("__c")), "left")
+    return evaluate.gated(both).select("configuration", "p50", "status", "best")

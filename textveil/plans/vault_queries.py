@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cipher, regions
-from ..operators import chunks, detectors, evaluate, merge, pseudonymize, vault
+from ..operators import chunks, detectors, evaluate, known, merge, pseudonymize, vault
 from ..operators.catalogue import Catalogue
 from . import synth
 
@@ -310,6 +310,16 @@ def eval_prf(spark, sf_dir):
     return evaluate.scores(evaluate.counts(*_gold(spark, sf_dir)))
 
 
+@query(
+    "eval_report",
+    f"""WITH s AS (SELECT type, tp, fp, fn, tp / (tp + fp) AS p, tp / (tp + fn) AS r, 2 * tp / (2 * tp + fp + fn) AS f FROM ({_COUNTS}) q)
+    SELECT 0 AS at, '| type | tp | fp | fn | precision | recall | f1 |' AS line UNION ALL SELECT 1, '|---|---|---|---|---|---|---|'
+    UNION ALL SELECT (row_number() OVER (ORDER BY fp DESC, type) + 1)::INT, printf('| %s | %d | %d | %d | %.3f | %.3f | %.3f |', type, tp::BIGINT, fp::BIGINT, fn::BIGINT, p, r, f) FROM s""",
+)
+def eval_report(spark, sf_dir):
+    return evaluate.report(evaluate.scores(evaluate.counts(*_gold(spark, sf_dir))))
+
+
 def _labelled(spark, sf_dir):
     gold_, found = _gold(spark, sf_dir)
     return gold_, found.withColumn("label", F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("l"), F.col("doc_id") % 4)))
@@ -411,6 +421,42 @@ def detection_cache_hits(spark, sf_dir):
     return docs.groupBy("source").agg(F.sum("n").alias("requests"), F.count("*").alias("scanned"))
 
 
+#: One text per order, which repeats what its customer's other orders say; a first run sees those that are finished.
+_ASKED = "SELECT o_orderkey, o_orderpriority, o_orderstatus, o_custkey, 'Zu Kunde kunde' || CAST(o_custkey AS VARCHAR(20)) || '@bank.de' AS text FROM orders"
+_MET = f"SELECT *, o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AS known FROM ({_ASKED}) q"
+
+
+def _second_run(spark, sf_dir):
+    asked = synth.run_sql(spark, sf_dir, _ASKED)
+    first = known.looked_up(asked.where("o_orderstatus = 'F'"), RULES, None, 1)
+    return first, known.looked_up(asked, RULES, first.log, 2)
+
+
+@query("known_texts", f"SELECT o_orderkey, known, 9 AS start, length(text)::INT AS \"end\", 'EMAIL' AS type, substr(text, 10) AS surface FROM ({_MET}) m")
+def known_texts(spark, sf_dir):
+    """Orders' texts in a second run: whether the first one scanned them, and what is found in them either way."""
+    found = known.resolved(_second_run(spark, sf_dir)[1].docs, RULES)
+    return found.select("o_orderkey", "known", F.inline("candidates")).select("o_orderkey", "known", "start", "end", "type", F.col("text").alias("surface"))
+
+
+@query(
+    "detection_hit_rates",
+    f"SELECT o_orderpriority, count(*) AS requests, count(DISTINCT o_custkey) AS asked, count(DISTINCT o_custkey) FILTER (known) AS hits, count(DISTINCT o_custkey) FILTER (known) / count(DISTINCT o_custkey) AS hit_rate FROM ({_MET}) m GROUP BY 1",
+)
+def detection_hit_rates(spark, sf_dir):
+    return known.hit_rates(_second_run(spark, sf_dir)[1].docs, ["o_orderpriority"])
+
+
+@query(
+    "recently_used_texts",
+    f"SELECT text_key, used FROM (SELECT *, row_number() OVER (ORDER BY used DESC, text_key) AS n FROM (SELECT sha256(text) AS text_key, 2::BIGINT AS used FROM ({_MET}) m GROUP BY 1) q) r WHERE n <= 2048",
+)
+def recently_used_texts(spark, sf_dir):
+    """The log of two runs, cut down to the 2,048 texts used last."""
+    first, second = _second_run(spark, sf_dir)
+    return known.recent(first.log.unionByName(second.log), 2048).select("text_key", "used")
+
+
 _W = r"[\p{L}\p{N}_]"
 _NAME = "[A-Za-z]+ [a-z]+"
 
