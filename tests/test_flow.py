@@ -109,6 +109,14 @@ def test_stream_with_state(spark, tmp_path):
     assert "".join(r.released for r in spark.table("released").orderBy("seq").collect()) == "Von Max an [x]"
 
 
+def test_chunks_take_time_in_proportion(spark):
+    """A text ten times as long takes no hundred times as long: here two million characters in some seconds."""
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("Wörter und Zeilen 😀\n"), 100_000).alias("text"))
+    began = time.monotonic()
+    found = chunks.chunk_documents(docs, 512).agg(F.count("*").alias("n"), F.max(F.col("start") + F.char_length("text")).alias("end")).first()
+    assert found.end == 2_000_000 and found.n > 4000 and time.monotonic() - began < 30
+
+
 @pytest.mark.parametrize("most, overlap", [(7, 200), (40, 9), (1, 0)])
 def test_chunks_cover_texts(spark, most, overlap):
     texts = ["", None, "kurz", "ein  langer\n\nText mit Wörtern\nund Zeilen 😀 " * 6, "x" * 95]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,18 @@ from pyspark.sql import functions as F
 OVERLAP, BREAKS, NEAR = 200, ("\n\n", "\n", " "), 64
 
 
+def _cuts(value: str, most: int, shared: int) -> Iterator[tuple[int, int]]:
+    """Bounds of the windows of a text.  Each looks at its own characters only, so a text takes time in proportion to its length."""
+    begin, n = 0, len(value)
+    while n - begin > most:
+        full = begin + most
+        half = begin + most // 2
+        end = next((at + len(b) for b in BREAKS if (at := value.rfind(b, half, full)) >= 0), full)
+        yield begin, end
+        begin = end - shared if end - shared > begin else end
+    yield begin, n
+
+
 def chunk_documents(docs: DataFrame, most: int, overlap: int = OVERLAP, text: str = "text") -> DataFrame:
     """Windows of up to ``most`` characters: the other columns, ``chunk`` (from 0), ``start`` and ``text``.
 
@@ -19,26 +34,14 @@ def chunk_documents(docs: DataFrame, most: int, overlap: int = OVERLAP, text: st
     if most < 1:
         raise ValueError("a window holds one character at least")
     whole, shared = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), max(0, min(overlap, most // 4))
-    n = F.char_length(whole)
-
-    def step(state, _):
-        begin = state["next"]
-        full = F.least(begin + most, n)
-        half = begin + F.floor((full - begin) / 2).cast("int")
-        back = F.reverse(F.substring(whole, half + 1, full - half))
-        after = full - F.coalesce(*[F.nullif(F.instr(back, F.lit(b)), F.lit(0)) for b in BREAKS], F.lit(1)) + 1
-        end = F.when(full < n, after).otherwise(full)
-        then = F.when(end >= n, n).when(end - shared > begin, end - shared).otherwise(end)
-        on = F.struct(then.alias("next"), F.array_append(state["cuts"], F.struct(begin.alias("start"), end.alias("end"))).alias("cuts"))
-        return F.when(begin < n, on).otherwise(state)
-
-    # A window takes half of ``most`` at least and gives a quarter back at most.
-    steps = F.sequence(F.lit(0), F.ceil(n * 4 / most).cast("int") + 1)
-    none = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<start:int,end:int>>").alias("cuts"))
-    cuts = F.when(n <= most, F.array(F.struct(F.lit(0).alias("start"), n.alias("end")))).otherwise(F.aggregate(steps, none, step)["cuts"])
-    rest = [c for c in docs.columns if c != text]
-    out = docs.select(*[F.col(f"`{c}`") for c in rest], whole.alias("__whole"), F.posexplode(cuts).alias("chunk", "__cut"))
-    return out.select(*[F.col(f"`{c}`") for c in rest], "chunk", F.col("__cut.start").alias("start"), F.substring("__whole", F.col("__cut.start") + 1, F.col("__cut.end") - F.col("__cut.start")).alias(text))
+
+    @F.pandas_udf("array<struct<start:int,text:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda value: [{"start": begin, "text": value[begin:end]} for begin, end in _cuts(value, most, shared)])
+
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    out = docs.select(*rest, F.posexplode(run(whole)).alias("chunk", "__cut"))
+    return out.select(*rest, "chunk", F.col("__cut.start").alias("start"), F.col("__cut.text").alias(text))
 
 
 def located(text: Column, surface: Column, hint: Column) -> Column:
