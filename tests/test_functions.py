@@ -85,6 +85,13 @@ def test_numbering_plan_against_longest_prefix(spark):
     assert got[None].DE is None and got["x" * 14].DE is None
 
 
+def test_file_numbers_are_no_telephone_numbers(spark):
+    """Digits of the right length after a word need a trunk prefix or country code; on their own they don't."""
+    want = {"Aktenzeichen 234567": "234567", "Aktenzeichen 491701234567": "491701234567", "Tel. 0170 1234567": "+491701234567", "Tel. +49 170 1234567": "+491701234567", "170 1234567": "+491701234567"}
+    rows = spark.createDataFrame([(x,) for x in want], "x string")
+    assert {r.x: r.got for r in rows.select("x", normalize.normalize(F.col("x"), "phone").alias("got")).collect()} == want
+
+
 def test_request_texts_and_refusals(spark):
     call = {"id": "c", "type": "function", "function": {"name": "send", "arguments": json.dumps({"to/x": "Max", "n": 5})}}
     cases = [

@@ -78,7 +78,8 @@ def spellings(x: Column, region: str = "DE") -> Column:
     """Full numbers (``+`` and digits) that ``x`` may stand for, likelier ones first.
 
     ``+`` or ``00`` comes before a country code, and a ``(0)`` is no part of the number.  Without them it is a
-    number of the region with or without its trunk prefix, or one whose country code lacks its mark.
+    number of the region with or without its trunk prefix, or one whose country code lacks its mark; with letters
+    beside its digits, as of a file number, it needs the trunk prefix.
     """
     code, trunk = REGIONS[region]
     bare = F.regexp_replace(F.regexp_replace(x, r"\(0\)", ""), r"[^0-9+]", "")
@@ -87,7 +88,8 @@ def spellings(x: Column, region: str = "DE") -> Column:
     full = lambda d: F.concat(F.lit("+"), d)
     national = full(F.concat(F.lit(code), F.when(digits.startswith(trunk), rest(len(trunk))).otherwise(digits) if trunk else digits))
     marked = F.when(bare.startswith("+"), F.array(full(digits))).when(digits.startswith("00"), F.array(full(rest(2))))
-    return marked.otherwise(F.array(national, F.when(digits.startswith(code), full(digits))))
+    plain, named = ~x.rlike(r"\p{L}"), digits.startswith(trunk)
+    return marked.otherwise(F.array(F.when(plain | named, national), F.when(plain & digits.startswith(code), full(digits))))
 
 
 def e164(x: Column, region: str = "DE", fits: str = VALID) -> Column:
