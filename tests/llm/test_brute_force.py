@@ -177,6 +177,16 @@ def test_components(spark):
             assert (got[x] == got[y]) == (root(x) == root(y))
 
 
+def test_depth_is_that_of_the_threshold(spark, monkeypatch):
+    """Pairs that are far above the threshold don't keep prefixes longer than those just at it need."""
+    made, shifts = lshforest._compare, []
+    monkeypatch.setattr(lshforest, "_compare", lambda num, den, shift: shifts.append(shift) or made(num, den, shift))
+    texts = [" ".join(f"w{pair}x{k}" for k in range(200)) + f" end{side}" for pair in range(40) for side in "ab"]
+    out = lshforest.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(out) == 80 and all(r.n_links == 1 and r.component_id == r.doc_id - r.doc_id % 2 for r in out)
+    assert shifts == [lshforest.BITS * lshforest.LEVELS]
+
+
 def test_forest_shortens_until_its_recall():
     low = lshforest.shortest(0.8, 0.99999)
     assert lshforest.met(0.8, low) >= 0.99999 > lshforest.met(0.8, low + 1)

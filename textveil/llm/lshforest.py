@@ -5,11 +5,10 @@ label: a sequence of min-hashes in bits, so that sorted labels are the tree's pr
 longest prefix of two classes is that of neighbours in the order.  Labels are sorted by ranges, so
 a label that very many classes share is split over tasks.
 
-Prefixes are matched at full length first and shortened level by level.  What a depth recalls is
-measured by exact similarities of a sample of neighbours: a pair of similarity s is met at depth d
-with probability 1 - (1 - s**d)**trees.  Shortening ends where the recall reaches its target, and
-at the latest at the depth at which pairs just at the threshold are recalled so.  No two trees
-share a min-hash, so the trees are independent.
+Prefixes are matched at full length first and shortened level by level.  A pair of similarity s is
+met at depth d with probability 1 - (1 - s**d)**trees.  Shortening ends at the depth at which pairs
+just at the threshold reach the target recall, so that every pair above it does, whatever the
+table holds.  No two trees share a min-hash, so the trees are independent.
 
 Classes that share a prefix of that depth are candidates.  Their components are the only groups in
 which texts are compared, in large ones only blocks that share a prefix, and every candidate is
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, slim_join, stored
+from .common import pick, slim_join, stored
 from .components import connected_components
 from .hashing import ALNUM, U, Words, chunks, mix
 
@@ -33,8 +32,6 @@ TREES = 40
 #: Depths by which prefixes can be shortened, and a label's bits for each of them; the rest are of the shortest prefix.
 LEVELS, BITS = 3, 8
 BLOCK = 256
-#: Neighbours whose exact similarity is measured to choose the depth; the measure counts a pair at the threshold itself in.
-SAMPLE = 2_000
 #: Distinct shingles of a block pair up to which intersections are one matrix product.
 DENSE = 200_000
 
@@ -56,7 +53,7 @@ def shortened(similar: list[float], threshold: float, recall: float) -> int:
     """The depth at which shortening ends: the longest that recalls the target share of pairs like ``similar``.
 
     These were met at the shortest depth, so each stands for one over the probability of that.
-    One pair at the threshold is counted in: a small sample shortens on.
+    One pair at the threshold is counted in; with no others it is the depth at which every pair above the threshold is recalled so.
     """
     low = shortest(threshold, recall)
     pairs = [(s, 1 / met(s, low)) for s in [*similar, threshold]]
@@ -213,17 +210,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text: str
     return found.groupBy("node").agg(F.any_value("codes").alias("codes"))
 
 
-def _similarities(edges: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, width: int, doc_id: str, text: str) -> list[float]:
-    """Exact similarities, of those at the threshold or above, of a seeded sample of neighbours: at most SAMPLE numbers."""
-    sample = cut(edges.orderBy(F.xxhash64(F.lit(5), "a", "b"), "a", "b").limit(SAMPLE).select("a", "b"))
-    nodes = sample.select(F.col("a").alias("node")).union(sample.select("b")).distinct()
-    sets = cut(_sets(docs, slim_join(classes, nodes, "node", "left_semi").select("node", "class_id"), width, doc_id, text))
-    both = sample.join(sets.select(F.col("node").alias("a"), F.col("codes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("codes").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    both = both.select((shared / (F.size("x") + F.size("y") - shared)).alias("s"))
-    return [r.s for r in both.where(F.col("s") >= threshold).collect()]
-
-
 class _Forest:
     """Union-find over the rows of a task; keeps the edges that joined two trees."""
 
@@ -313,7 +299,7 @@ def jaccard_join(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5, re
     classes = signed.where(F.col("node").isNotNull()).groupBy("node")
     classes = stored(classes.agg(F.count("*").alias("copies"), F.min("doc_id").alias("class_id"), F.any_value("labels").alias("labels")), "forest-classes")
     edges = stored(trie_edges(classes, low), "forest-edges")
-    depth = shortened(_similarities(edges, classes, docs, num / den, width, doc_id, text), num / den, recall)
+    depth = shortened([], num / den, recall)
     shift = BITS * (low + LEVELS - depth)
     near = connected_components(edges.where(F.col("depth") >= depth).select("a", "b"))
     sizes = near.groupBy("component").agg(F.count("*").alias("n"))
