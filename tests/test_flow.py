@@ -109,6 +109,31 @@ def test_stream_with_state(spark, tmp_path):
     assert "".join(r.released for r in spark.table("released").orderBy("seq").collect()) == "Von Max an [x]"
 
 
+def test_finished_streams_are_no_groups(spark):
+    """Rows of many streams are fed in one pass, cut by batches anywhere; nothing is held over into the next stream."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        pieces = ["a [[PER", "SON_A1]] b", None, " [[X", "_"]
+        deltas = spark.createDataFrame([(str(s), c, k, d) for s in range(9) for c in (0, 1) for k, d in reversed(list(enumerate(pieces)))], "stream_id string, choice int, seq int, delta string")
+        out = holdback.released_batch(deltas)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+        got = {}
+        for r in out.orderBy("seq").collect():
+            got.setdefault((r.stream_id, r.choice), []).append(r.released)
+        assert len(got) == 18 and all(x == ["a ", "[[PERSON_A1]] b", "", " ", "[[X_"] for x in got.values())
+        event = lambda i, **more: json.dumps({"type": "response.output_text.delta", "item_id": "m", "sequence_number": 7, **more})
+        rows = [(s, k, event(k, delta=d)) for s in ("p", "q", None) for k, d in enumerate(["x [[A", "_B1]]", " [["])]
+        out = responses.relayed_batch(spark.createDataFrame(rows, "stream_id string, seq bigint, data string"))
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+        got = {}
+        for r in out.orderBy("seq", "part").collect():
+            got.setdefault(r.stream_id, []).append((r.seq, json.loads(r.data)["delta"], json.loads(r.data)["sequence_number"]))
+        assert set(got) == {"p", "q", None} and all(x == [(0, "x ", 0), (1, "[[A_B1]]", 1), (2, " ", 2), (3, "[[", 3)] for x in got.values())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_chunks_take_time_in_proportion(spark):
     """A text ten times as long takes no hundred times as long: here two million characters in some seconds."""
     docs = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("Wörter und Zeilen 😀\n"), 100_000).alias("text"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,14 +78,22 @@ def restoring(entries: DataFrame, streams: DataFrame, write: Callable[[DataFrame
 def released_batch(deltas: DataFrame, lenient: bool = False) -> DataFrame:
     """The pieces that ``restore_stream`` releases, over a finished table: a choice's last piece releases all."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        held, out, rows = "", [], rows.sort_values("seq")
-        for i, delta in enumerate(rows["delta"]):
-            piece, held = feed(held, delta, i == len(rows) - 1, lenient=lenient)
-            out.append(piece)
-        return pd.DataFrame({"stream_id": key[0], "choice": int(key[1]), "seq": rows["seq"].astype("int64"), "released": out})
-
-    return deltas.groupBy("stream_id", "choice").applyInPandas(run, OUT)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A row waits for the next one, which shows whether it is its choice's last.
+        waiting, held = None, ""
+        for batch in itertools.chain(batches, [None]):
+            out = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True) if batch is not None else [None]:
+                if waiting is not None:
+                    piece, held = feed(held, waiting[3], row is None or row[:2] != waiting[:2], lenient=lenient)
+                    out.append((*waiting[:3], piece))
+                waiting = row
+            columns = zip(*out, strict=True) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.string()), strict=True)], names=["stream_id", "choice", "seq", "released"])
+
+    # Sorted rows of many streams go to Python together: a group of its own for each costs more than its pieces.
+    dealt = deltas.select("stream_id", "choice", "seq", "delta").repartition("stream_id", "choice").sortWithinPartitions("stream_id", "choice", "seq")
+    return dealt.mapInArrow(run, OUT)
 
 
 def restore_batch(deltas: DataFrame) -> DataFrame:
