@@ -7,10 +7,12 @@ Values are put back afterwards, by joins (``operators.bodies.restored_bodies``).
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -162,10 +164,23 @@ def relayed_stream(events: DataFrame, lenient: bool = False, idle_ms: int = IDLE
 def relayed_batch(events: DataFrame, lenient: bool = False) -> DataFrame:
     """The same over a finished table; a stream's last event is its end."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        fold, rows = Fold(lenient=lenient), rows.sort_values("seq")
-        out = list(fold.rows(zip(rows["seq"].tolist(), rows["data"].tolist(), strict=True)))
-        seq = int(rows["seq"].max()) + 1
-        return _frame(key[0], out + [(seq, part, json.dumps(x, ensure_ascii=False)) for part, x in enumerate(fold.rest())])
-
-    return events.groupBy("stream_id").applyInPandas(run, OUT)
+    def ended(stream: str, fold: Fold, seq: int) -> list[tuple]:
+        return [(stream, seq + 1, part, json.dumps(x, ensure_ascii=False)) for part, x in enumerate(fold.rest())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, fold, last = None, None, 0
+        for batch in itertools.chain(batches, [None]):
+            out = []
+            for name, seq, data in zip(*[c.to_pylist() for c in batch.columns], strict=True) if batch is not None else ():
+                if fold is None or name != stream:
+                    out += ended(stream, fold, last) if fold else []
+                    stream, fold = name, Fold(lenient=lenient)
+                out += [(name, *row) for row in fold.rows([(seq, data)])]
+                last = seq
+            if batch is None and fold:
+                out += ended(stream, fold, last)
+            columns = zip(*out, strict=True) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["stream_id", "seq", "part", "data"])
+
+    # Sorted events of many streams go to Python together: a group of its own for each costs more than its events.
+    return events.select("stream_id", "seq", "data").repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInArrow(run, OUT)
