@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPAN = "struct<start:int,end:int,label:string>"
+from ..functions.matching import let
+
 #: Fixed value: the label of predictions that no model label stands behind.
 BY_RULE = "(rule)"
 #: The quality that a configuration must reach to be chosen for its speed.
@@ -20,26 +21,37 @@ def matches(gold: DataFrame, predicted: DataFrame, exact: bool = False) -> DataF
     overlap (the first of equals), or the one with just its bounds.
     """
 
-    def side(df, name):
-        label = F.col("label") if "label" in df.columns else F.lit(None)
-        one = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), label.cast("string").alias("label"))
-        return df.groupBy("doc_id", "type").agg(F.array_sort(F.collect_list(one)).alias(name))
+    both = _sides(gold, predicted)
+    return both.withColumn("m", _matched("gold", "found", exact)).select("doc_id", "type", "gold", "found", "m.used", "m.hit")
+
+
+def _sides(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """doc_id, type, gold and found: sorted spans, gathered from both tables by one shuffle.  Rows of a null document or type meet none of the other table."""
+    span = "struct<start:int,end:int,label:string,score:double>"
+
+    def side(df, n):
+        own = [F.col(c) if c in df.columns else F.lit(None) for c in ("label", "score")]
+        one = F.struct("start", "end", *[c.alias(k) for c, k in zip(own, ("label", "score"), strict=True)]).cast(span)
+        return df.select("doc_id", "type", F.lit(n).alias("side"), one.alias("s"), F.when(F.col("doc_id").isNull() | F.col("type").isNull(), n).alias("apart"))
+
+    lists = [F.array_sort(F.collect_list(F.when(F.col("side") == n, F.col("s")))).alias(name) for n, name in enumerate(("gold", "found"))]
+    return side(gold, 0).unionByName(side(predicted, 1)).groupBy("doc_id", "type", "apart").agg(*lists).drop("apart")
+
 
-    both = side(gold, "gold").join(side(predicted, "found"), ["doc_id", "type"], "full")
-    none = F.array().cast(f"array<{SPAN}>")
-    both = both.select("doc_id", "type", F.coalesce("gold", none).alias("gold"), F.coalesce("found", none).alias("found"))
+def _matched(gold: str, found: str, exact: bool = False) -> Column:
+    """Of two columns of sorted spans the positions that are matched: hit of ``gold``, used of ``found``."""
 
     def step(state, i):
-        g = F.get("gold", i)
+        g = F.get(gold, i)
         overlap = lambda p: F.least(g["end"], p["end"]) - F.greatest(g["start"], p["start"])
         fits = lambda p: (p["start"] == g["start"]) & (p["end"] == g["end"]) if exact else overlap(p) > 0
-        rated = F.transform("found", lambda p, k: F.struct(overlap(p).alias("n"), (-k).alias("back"), fits(p).alias("ok")))
+        rated = F.transform(found, lambda p, k: F.struct(overlap(p).alias("n"), (-k).alias("back"), fits(p).alias("ok")))
         open_ = F.filter(rated, lambda x: x["ok"] & ~F.array_contains(state["used"], -x["back"]))
-        taken = F.struct(F.array_append(state["used"], -F.array_max(open_)["back"]).alias("used"), F.array_append(state["hit"], i).alias("hit"))
-        return F.when(F.size(open_) > 0, taken).otherwise(state)
+        taken = lambda best: F.struct(F.array_append(state["used"], -best["back"]).alias("used"), F.array_append(state["hit"], i).alias("hit"))
+        return let(F.array_max(open_), lambda best: F.when(best.isNotNull(), taken(best)).otherwise(state))
 
     nothing = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<int>").alias("hit"))
-    return both.withColumn("m", F.aggregate(F.transform("gold", lambda _, i: i), nothing, step)).select("doc_id", "type", "gold", "found", "m.used", "m.hit")
+    return F.aggregate(F.transform(gold, lambda _, i: i), nothing, step)
 
 
 def counts(gold: DataFrame, predicted: DataFrame, exact: bool = False) -> DataFrame:
@@ -59,13 +71,13 @@ def label_counts(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def mistakes(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """kind ("fp" or "fn"), doc_id, type, start, end of each span that nothing matches."""
-    both = matches(gold, predicted)
 
     def left(kind, spans, taken):
-        rows = both.select("doc_id", "type", F.col(taken).alias("taken"), F.posexplode(spans).alias("k", "p")).where(~F.array_contains("taken", F.col("k")))
-        return rows.select(F.lit(kind).alias("kind"), "doc_id", "type", F.col("p.start").alias("start"), F.col("p.end").alias("end"))
+        rest = F.filter(spans, lambda _, k: ~F.array_contains(taken, k))
+        return F.transform(rest, lambda p: F.struct(F.lit(kind).alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
 
-    return left("fp", "found", "used").unionByName(left("fn", "gold", "hit"))
+    both = F.inline(F.concat(left("fp", "found", "used"), left("fn", "gold", "hit")))
+    return matches(gold, predicted).select("doc_id", "type", both).select("kind", "doc_id", "type", "start", "end")
 
 
 def first_mistakes(found: DataFrame, limit: int = 15) -> DataFrame:
@@ -123,10 +135,9 @@ def scores(counted: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(gold: DataFrame, candidates: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Counts at each threshold: candidates (doc_id, type, start, end, score) are scanned once and kept by each."""
-    steps = F.array(*[F.lit(float(t)) for t in thresholds])
-    kept = candidates.withColumn("threshold", F.explode(F.filter(steps, lambda t: F.col("score") >= t)))
-    wanted = gold.withColumn("threshold", F.explode(steps))
-    keyed = lambda df: df.withColumn("type", F.concat_ws("@", "type", F.col("threshold").cast("string")))
-    out = counts(keyed(wanted), keyed(kept))
-    return out.select(F.substring_index("type", "@", 1).alias("type"), F.substring_index("type", "@", -1).cast("double").alias("threshold"), "tp", "fp", "fn")
+    """Counts at each threshold: spans and candidates (doc_id, type, start, end, score) meet once, and are matched anew for each."""
+    step = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
+    kept = F.filter("found", lambda p: p["score"] >= F.col("threshold")).alias("found")
+    both = _sides(gold, candidates).select("type", "gold", "found", step).select("type", "threshold", "gold", kept).where(F.size("gold") + F.size("found") > 0)
+    out = both.select("type", "threshold", F.size("gold").alias("g"), F.size("found").alias("p"), F.size(_matched("gold", "found")["used"]).alias("tp"))
+    return out.groupBy("type", "threshold").agg(F.sum("tp").alias("tp"), F.sum(F.col("p") - F.col("tp")).alias("fp"), F.sum(F.col("g") - F.col("tp")).alias("fn"))
