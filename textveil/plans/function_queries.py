@@ -62,13 +62,13 @@ _VALIDATE = {
 
 def _add_normalizer(name: str, cases: list[tuple[str, str]]) -> None:
     source = f"SELECT c_custkey AS id, {_cases(*[v for v, _ in cases])} AS value FROM customer"
-    QUERIES[f"normalize_{name}"] = lambda spark, d: synth.run_sql(spark, d, source).select("id", normalize.normalize(F.col("value"), name).alias("norm"))
+    QUERIES[f"normalize_{name}"] = lambda spark, d: synth.run_sql(spark, d, source, deal=True).select("id", normalize.normalize(F.col("value"), name).alias("norm"))
     SQL[f"normalize_{name}"] = f"SELECT c_custkey AS id, {_cases(*[k for _, k in cases])} AS norm FROM customer"
 
 
 def _add_validator(name: str, cases: list[tuple[str, str]]) -> None:
     source = f"SELECT c_custkey AS id, {_cases(*[v for v, _ in cases])} AS value FROM customer"
-    QUERIES[f"validate_{name}"] = lambda spark, d: synth.run_sql(spark, d, source).select("id", validate.get(name)(F.col("value")).alias("valid"))
+    QUERIES[f"validate_{name}"] = lambda spark, d: synth.run_sql(spark, d, source, deal=True).select("id", validate.get(name)(F.col("value")).alias("valid"))
     SQL[f"validate_{name}"] = f"SELECT c_custkey AS id, {_cases(*[k for _, k in cases])} AS valid FROM customer"
 
 
@@ -76,7 +76,7 @@ def _add_letter_finder(kind: str, finder: str) -> None:
     n = next(i for i, p in enumerate(synth.PARTS) if p[1] == kind)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        letters = synth.run_sql(spark, sf_dir, synth.LETTERS)
+        letters = synth.run_sql(spark, sf_dir, synth.LETTERS, deal=True)
         out = letters.select("doc_id", F.inline(finders.get(finder)(F.col("text")))).select("doc_id", "start", "end", F.col("text").alias("surface"))
         # By chance, digits of the account and the telephone pass the card check as well.
         return out.where(F.col("surface").startswith("411111")) if kind == "CARD" else out
