@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -235,6 +236,38 @@ def test_warc_with_version_lines_in_payloads(spark):
     assert len(got) == len(rows)
 
 
+def test_blocks_of_components_do_not_depend_on_partitions(spark, monkeypatch):
+    """A component of 200 texts in blocks of 100 is three jobs, over however many partitions its rows are sorted."""
+    rng, rows = random.Random(8), []
+    base = [f"w{k}" for k in range(60)]
+    for i in range(200):
+        text = list(base)
+        text[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    docs, kept, want = spark.createDataFrame(rows, "doc_id long, text string"), {}, lshforest._compare
+    put = lshforest.stored
+    monkeypatch.setattr(lshforest, "BLOCK", 100)
+    monkeypatch.setattr(lshforest, "stored", lambda df, what: kept.setdefault(what, put(df, what)))
+
+    def sizes(*setting):
+        run = want(*setting)
+        return lambda pdf: pd.concat([run(pdf), pd.DataFrame({"a": [len(pdf)], "b": [0], "kind": [2]})])
+
+    monkeypatch.setattr(lshforest, "_compare", sizes)
+    names = {"spark.sql.shuffle.partitions": "25", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        out = {r.doc_id: r.n_links for r in lshforest.jaccard_join(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(56)} for _, t in rows]
+    assert out == {i: sum(5 * len(a & b) >= 4 * len(a | b) for b in sets) - 1 for i, a in enumerate(sets)}
+    assert kept["links"].where("kind = 2").agg(F.sum("a")).first()[0] == 400
+
+
 def test_packing_by_the_tokenizer(spark):
     from tokenizers import Tokenizer
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pick, slim_join, stored
@@ -210,6 +210,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text: str
     return found.groupBy("node").agg(F.any_value("codes").alias("codes"))
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows numbered by ``at`` within partitions (its low 33 bits), with their block: runs of BLOCK rows through all of them."""
+    part, at = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a partition.
+    counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.withColumn("part", part).join(F.broadcast(counts), "part").withColumn("block", F.floor((F.col("before") + at) / BLOCK)).drop("part", "before", "at")
+
+
 class _Forest:
     """Union-find over the rows of a task; keeps the edges that joined two trees."""
 
@@ -308,7 +317,7 @@ def jaccard_join(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5, re
     jobs = max(1, -(-near.where(F.col("n") <= BLOCK).count() // (4 * BLOCK)))
     # Blocks of a large component are runs of its order in one tree; a row goes to the pairs of its block and those that share a prefix with it.
     large = near.where(F.col("n") > BLOCK).repartitionByRange("component", F.col("labels")[0], "node").sortWithinPartitions("component", F.col("labels")[0], "node")
-    large = stored(large.select("node", "component", F.floor(F.monotonically_increasing_id() / BLOCK).alias("block"), "labels"), "forest-blocks")
+    large = in_blocks(stored(large.select("node", "component", F.monotonically_increasing_id().alias("at"), "labels"), "forest-blocks"))
     met_by = large.select("component", "block", F.posexplode("labels").alias("tree", "label"))
     met_by = met_by.select("component", "block", "tree", F.shiftright("label", shift).alias("prefix")).distinct()
     pairs = met_by.join(met_by.withColumnRenamed("block", "other"), ["component", "tree", "prefix"]).where("block <= other").select("component", "block", "other").distinct()
