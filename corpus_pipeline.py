@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textveil.llm.common import free_shuffles, fresh_path, slim_join
+from textveil.llm.common import cut, free_shuffles, fresh_path, slim_join
 from textveil.llm.compactwindows import repeated_passages, without_passages
 from textveil.llm.lshforest import jaccard_join
 from textveil.llm.mixing import mix_sources
@@ -32,8 +32,8 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def _without(keyed: DataFrame, judged: DataFrame, key: str) -> DataFrame:
-    """The rows that ``judged`` keeps: what it rejects, the smaller part, is taken out by key."""
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    """The rows that ``judged`` keeps: what it rejects, the smaller part, is found once and taken out by key."""
+    gone = cut(judged.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct())
     return slim_join(keyed, gone, key, "left_anti")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, slim_join, stored
+from .common import cut, pick, row_count, slim_join, stored
 from .components import connected_components
 from .hashing import ALNUM, U, Words, chunks, mix
 
@@ -312,9 +312,9 @@ def jaccard_join(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5, re
     shift = BITS * (low + LEVELS - depth)
     near = connected_components(edges.where(F.col("depth") >= depth).select("a", "b"))
     sizes = near.groupBy("component").agg(F.count("*").alias("n"))
-    near = stored(slim_join(classes, near.join(sizes, "component"), "node"), "forest-near")
+    near = stored(slim_join(classes, cut(near.join(sizes, "component")), "node"), "forest-near")
     members = near.drop("class_id").join(_sets(docs, near, width, doc_id, text), "node")
-    jobs = max(1, -(-near.where(F.col("n") <= BLOCK).count() // (4 * BLOCK)))
+    jobs = max(1, -(-row_count(near.where(F.col("n") <= BLOCK)) // (4 * BLOCK)))
     # Blocks of a large component are runs of its order in one tree; a row goes to the pairs of its block and those that share a prefix with it.
     large = near.where(F.col("n") > BLOCK).repartitionByRange("component", F.col("labels")[0], "node").sortWithinPartitions("component", F.col("labels")[0], "node")
     large = in_blocks(stored(large.select("node", "component", F.monotonically_increasing_id().alias("at"), "labels"), "forest-blocks"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pick, sized, stored
+from .common import by_size, cut, pick, row_count, sized, stored
 from .hashing import NONBLANK, U, Buffer, Words, chunks, mix
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -213,7 +213,7 @@ def mcd(rows: DataFrame, group: str, h_share: float = 0.75, seed: int = 3) -> Da
         return df.groupBy(*keys).agg(*_moments()).repartition(*keys[:2])
 
     def step(state: DataFrame) -> DataFrame:
-        near = rows.join(sized(state.drop("logdet")), group).withColumn("d2", _distance()).withColumn("bin", bins)
+        near = rows.join(slim(state.drop("logdet")), group).withColumn("d2", _distance()).withColumn("bin", bins)
         sums = summed(near, group, "start", "bin")
         order = Window.partitionBy(group, "start")
         sums = sums.withColumn("before", F.coalesce(F.sum("m0").over(order.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
@@ -222,7 +222,9 @@ def mcd(rows: DataFrame, group: str, h_share: float = 0.75, seed: int = 3) -> Da
         return cut(subset.select(group, "start", _estimate(factor)("n", "sums", "products").alias("e")).select(group, "start", "e.*"))
 
     counts = cut(rows.groupBy(group).agg(F.count("*").alias("all")))
-    draws = rows.join(sized(counts), group).withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(STARTS))))
+    # A state has a row for each group and start at most.
+    slim = by_size(row_count(counts) * (STARTS + 1))
+    draws = rows.join(slim(counts), group).withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(STARTS))))
     draws = draws.where(F.pmod(F.xxhash64(F.lit(seed), "start", *FEATURES), F.greatest(F.lit(1), F.floor(F.col("all") / START_ROWS))) == 0)
     drawn = draws.groupBy(group, "start").agg(*_moments()).groupBy(group, "start").agg(*_moments(F.lit(1.0)))
     drawn = drawn.select(group, "start", _estimate(1.0)("n", "sums", "products").alias("e")).select(group, "start", "e.*")
@@ -239,7 +241,7 @@ def mcd(rows: DataFrame, group: str, h_share: float = 0.75, seed: int = 3) -> Da
         state, going = cut(after.unionByName(state).groupBy(group).agg(best).select(group, F.lit(0).alias("start"), "e.*")), not falls.isEmpty()
         if not going:
             break
-    core = rows.join(sized(state), group).where(_distance() <= chi2_quantile(CORE, p)).groupBy(group).agg(*_moments()).groupBy(group).agg(*_moments(F.lit(1.0)))
+    core = rows.join(slim(state), group).where(_distance() <= chi2_quantile(CORE, p)).groupBy(group).agg(*_moments()).groupBy(group).agg(*_moments(F.lit(1.0)))
     return cut(core.select(group, _estimate(consistency(CORE, p))("n", "sums", "products").alias("e")).select(group, "e.*"))
 
 
