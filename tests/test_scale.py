@@ -1,8 +1,9 @@
 """Plans that have to hold at size: work dealt over tasks, and each table shuffled once."""
 
+import itertools
 import re
 
-from textveil.plans import function_queries, vault_queries
+from textveil.plans import function_queries, gateway_queries, vault_queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -24,3 +25,25 @@ def test_spans_are_matched_after_one_shuffle(spark):
     assert _exchanges(vault_queries.threshold_sweep(spark, FOLDER)) == 2
     rows = vault_queries.threshold_sweep(spark, FOLDER).collect()
     assert len(rows) == 12
+
+
+def _broadcast_unshuffled(df):
+    """Sides of joins that are broadcast as they are stored: behind an exchange their size is known before, and a large one is not."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(re.match(r"[ :+-]*", x)[0]) for x in lines]
+    below = [[x for x, _ in itertools.takewhile(lambda y, i=i: y[1] > depth[i], zip(lines[i + 1 :], depth[i + 1 :], strict=True))] for i in range(len(lines))]
+    return [x for x, under in zip(lines, below, strict=True) if "BroadcastExchange" in x and not any("- Exchange " in y for y in under)]
+
+
+def test_stored_rows_are_not_broadcast_by_estimate(spark):
+    """Events and spans that generators made of some rows of input are as many as they are: no join sends them through the driver."""
+    entities = vault_queries.vault._held(vault_queries.vault.new_entities(vault_queries._mentions(spark, FOLDER)))
+    mentions = vault_queries._mentions(spark, FOLDER)
+    letters = vault_queries._pseudonymised(spark, FOLDER)
+    plans = {
+        "streams": gateway_queries.responses_stream_events(spark, FOLDER), "letters": letters.texts, "entries": letters.entries,
+        "restore": vault_queries.vault.restore_entries(mentions, entities, []), "forms": vault_queries.vault.surface_forms(mentions, entities, []),
+        "outcomes": vault_queries.vault.outcomes(letters.entries, letters.entries, entities), "adopted": vault_queries.vault.adopted(letters.entries, entities, letters.entries),
+    }
+    assert {k: x for k, df in plans.items() if (x := _broadcast_unshuffled(df))} == {}
+    assert plans["streams"].count() == 1650

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.requests import with_hint, written_back
 from .pseudonymize import reverse, unused
-from .vault import _held
+from .vault import _held, shuffled
 
 #: Levels walked before the nodes are stored and looked at; deeper bodies take more rounds.
 LEVELS = 4
@@ -211,7 +211,7 @@ def restored_bodies(answers: DataFrame, protocol: Protocol, entries: DataFrame,
     nodes = text_nodes(some, protocol).where("not was_number")
     back = reverse(nodes, entries, fuzzy=fuzzy, text="text").where("restored <> text")
     patch = back.groupBy(row).agg(F.collect_list(F.struct("pointer", "restored")).alias("patch"))
-    out = held.join(patch.select(row, F.col("patch.pointer").alias("__at"), F.col("patch.restored").alias("__new")), row, "left")
+    out = held.join(shuffled(patch.select(row, F.col("patch.pointer").alias("__at"), F.col("patch.restored").alias("__new"))), row, "left")
     # Bodies without a patch don't go to Python.
     done = out.where("__at is not null").withColumn(body, written_back(F.col(f"`{body}`"), F.col("__at"), F.col("__new"))).unionByName(out.where("__at is null"))
     return done.select(*[F.col(f"`{c}`") for c in answers.columns])
