@@ -47,3 +47,9 @@ def test_stored_rows_are_not_broadcast_by_estimate(spark):
     }
     assert {k: x for k, df in plans.items() if (x := _broadcast_unshuffled(df))} == {}
     assert plans["streams"].count() == 1650
+
+
+def test_values_are_found_without_a_broadcast_of_entities(spark):
+    """Entries meet entities, digests meet those asked for, and placeholders meet values: all three are shuffled."""
+    plan = vault_queries.encrypted_values(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3
